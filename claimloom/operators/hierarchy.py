@@ -108,7 +108,7 @@ def ancestor_pairs(nodes: DataFrame) -> DataFrame:
 def hierarchy(nodes: DataFrame) -> DataFrame:
     """For each node: path from its root, depth, root, number of descendants and whether it lies in or below a cycle.
 
-    A node in or below a cycle has no root: root_id and depth are null, and path holds
+    A node in or below a cycle has no root: root_id is null, depth is -1, and path holds
     its ancestors by distance.  Where links name several parents, path is a list of all
     ancestors, the farthest first (ties by id).  Ids without any link are trees of one node.
     The path of a node is as long as its depth; descendants come as rows (`ancestor_pairs`).
@@ -131,7 +131,7 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
         .select(
             "node_id",
             path.alias("path"),
-            F.when(~cyclic, F.coalesce(F.col("hops"), F.lit(0))).alias("depth"),
+            F.when(cyclic, F.lit(-1)).otherwise(F.coalesce(F.col("hops"), F.lit(0))).alias("depth"),
             F.when(~cyclic, F.coalesce(F.get("above", F.lit(0)), F.col("node_id"))).alias("root_id"),
             F.coalesce(F.col("n_descendants"), F.lit(0)).alias("n_descendants"),
             cyclic.alias("in_cycle"),

@@ -40,7 +40,7 @@ above AS (SELECT descendant_id AS id, list(ancestor_id ORDER BY hops DESC, ances
                  bool_or(ancestor_id IN (SELECT ancestor_id FROM loops)) AS cyclic FROM pairs GROUP BY 1),
 below AS (SELECT ancestor_id AS id, count(*) AS n FROM pairs GROUP BY 1)
 SELECT i.id AS node_id, array_to_string(list_append(coalesce(up, []), i.id), '/') AS path,
-       CASE WHEN NOT coalesce(cyclic, false) THEN coalesce(hops, 0) END AS depth,
+       CASE WHEN coalesce(cyclic, false) THEN -1 ELSE coalesce(hops, 0) END AS depth,
        CASE WHEN NOT coalesce(cyclic, false) THEN coalesce(up[1], i.id) END AS root_id,
        coalesce(n, 0) AS n_descendants, coalesce(cyclic, false) AS in_cycle
 FROM ids i LEFT JOIN above a ON a.id = i.id LEFT JOIN below b ON b.id = i.id""",
