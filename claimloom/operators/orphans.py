@@ -23,8 +23,9 @@ PROBES = 4
 
 
 def _positions(key: Column, bits: int) -> list[Column]:
-    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(7))
-    return [F.pmod(a + F.lit(i) * F.shiftrightunsigned(b, 20), F.lit(bits).cast("long")) for i in range(PROBES)]
+    """Double hashing: PROBES bit positions; both hashes are reduced first, so that no sum overflows."""
+    a, b = F.pmod(F.xxhash64(key), F.lit(bits).cast("long")), F.pmod(F.xxhash64(key, F.lit(7)), F.lit(bits).cast("long"))
+    return [F.pmod(a + F.lit(i).cast("long") * b, F.lit(bits).cast("long")) for i in range(PROBES)]
 
 
 def bloom_words(keys: DataFrame, key: str, expected: int, max_bits: int = MAX_BLOOM_BITS) -> tuple[DataFrame, int]:
