@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +58,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="claimloom-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/claimloom_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, str(Path("claimloom") / p.relative_to(here)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Arrow batches through ``f``, with this package importable wherever it runs."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def norm_id(c: Column) -> Column:
     """Form in which node ids compare: lower case, no outer blanks; a blank id is null."""
     trimmed = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
