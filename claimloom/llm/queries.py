@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm.lookalike import lookalike_copies, one_form
+from claimloom.llm.near_dupes import near_duplicate_groups, near_duplicates
+from claimloom.llm.residue import residue
+from claimloom.llm.sentences import boundaries, sentences
 from claimloom.llm.statements import statement_copies, statements
 from claimloom.plans.registry import Registry
 from claimloom.runtime import table
@@ -56,3 +59,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm.query("p5_forms")
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form(table(spark, sf_dir, "nodes"))
+
+
+@llm.query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundaries(table(spark, sf_dir, "nodes"))
+
+
+@llm.query("p3_sentences")
+def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "nodes"))
+
+
+@llm.query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "nodes"))
+
+
+@llm.query("p4_groups")
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "nodes"))
+
+
+@llm.query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+@llm.query("p9_residue")
+def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(table(spark, sf_dir, "documents"))
