@@ -131,7 +131,7 @@ PLACEHOLDER = re.compile(
     r"\{\{\s*[A-Za-z][\w.]*\s*\}\}|\{%\s*[A-Za-z][\w.]*\s*%\}|<%=?\s*[A-Za-z][\w.]*\s*%>|[$#]\{[A-Za-z][\w.]*\}|%[A-Za-z][\w.]{2,}%|"
     r"\[\[[A-Za-z][\w.]*\]\]|\[(?:INSERT|YOUR|ENTER|Insert|Your|Enter|insert|your|enter) [\w. ]+\]|\[[A-Za-z][A-Za-z_.]{2,}\]|<<[A-Za-z][\w.]*>>|"
     r"<(?!/?(?:p|br|b|i|u|a|em|strong|div|span|li|ul|ol|h\d|table|tr|td|img|hr|code|pre|html|head|body|title|script|style|link|meta|form|input|sup|sub|small)\b)[A-Za-z][\w.]*>|"
-    r"__[A-Za-z][A-Za-z.]*(?:_[A-Za-z.]+)*__|@@[A-Za-z][\w.]*@@|\*\|[A-Za-z][\w.]*\|\*|(?<![{$#\w])\{[A-Za-z][\w.]*\}(?!\})"
+    r"__[A-Za-z][A-Za-z.]*(?:_[A-Za-z.]+)*__|@@[A-Za-z][\w.]*@@|\*\|[A-Za-z][\w.]*\|\*|(?<![{$#])\{[A-Za-z][\w.]*\}(?!\})"
 )
 EXPLAINS = re.compile(
     r"written as|says? that|for example|such as|fields? like|(?:is|are|gets?|be) (?:replaced|substituted|expanded)|(?:is|are) read from|fills? (?:it|them) in|stands? for|means\b|syntax|placeholder|variables? |e\.g\.|escaped|denotes?",
