@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimloom.llm.leakage import leak_spans, leaks, without_leaks
 from claimloom.llm.lookalike import lookalike_copies, one_form
+from claimloom.llm.mixing import mixture, mixture_report, token_sizes
 from claimloom.llm.near_dupes import near_duplicate_groups, near_duplicates
 from claimloom.llm.residue import residue
 from claimloom.llm.sentences import boundaries, sentences
@@ -89,3 +91,36 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm.query("p9_residue")
 def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(table(spark, sf_dir, "documents"))
+
+
+_GRAMS = """
+iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+grams AS (SELECT DISTINCT item_id, least(12, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(12, len(w)) + 2), lambda i: array_to_string(w[i:i + least(12, len(w)) - 1], ' '))) AS gram FROM iw WHERE len(w) > 0),
+dw AS (SELECT doc_id, regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[\\p{L}\\p{N}]+') AS w FROM documents),
+windows AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS gram FROM dw, (SELECT DISTINCT k FROM grams))
+"""
+
+
+@llm.query("p7_found", f"WITH {_GRAMS} SELECT DISTINCT doc_id, item_id FROM windows JOIN grams USING (k, gram)")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@llm.query("p7_spans")
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@llm.query("p7_clean")
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@llm.query("p8_mixes")
+def p8_mixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(token_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
+@llm.query("p8_shares")
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_report(token_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
