@@ -4,7 +4,7 @@ import importlib
 
 from claimloom.plans.registry import Registry, core
 
-MODULES = ("graph_quality",)
+MODULES = ("graph_quality", "store", "quality")
 
 
 def all_core() -> Registry:
