@@ -23,16 +23,16 @@ _LIST = "(?s)^[^\\p{L}\\p{N}]*\\p{L}[\\p{L}\\p{M}\\p{N}_ .-]*?\\s*(?::|=|->|→)
 _FIELD = "(?s)^[^\\p{L}\\p{N}]*(\\p{L}[\\p{L}\\p{M}\\p{N}_ .-]*?)\\s*(?::|=|->|→)\\s*(.*[\\p{L}\\p{N}].*)$"
 
 
-def _fields(separator: str) -> str:
+def _fields(separator: str, rank: int) -> str:
     parts = f"list_filter(string_split_regex(marked, '{separator}'), lambda s: regexp_matches(s, '[\\p{{L}}\\p{{N}}]'))"
     label, value = (_PLAIN.format(f"regexp_extract(s, '{_FIELD}', {g})") for g in (1, 2))
     return f"""CASE WHEN len({parts}) >= 2 AND len(list_filter({parts}, lambda s: NOT regexp_matches(s, '{_LIST}'))) = 0
-        THEN array_to_string(list_sort(list_distinct(list_transform({parts}, lambda s: {label} || chr(31) || {value}))), chr(30)) END"""
+        THEN struct_pack(n := len({parts}), r := {rank}, k := array_to_string(list_sort(list_distinct(list_transform({parts}, lambda s: {label} || chr(31) || {value}))), chr(30))) END"""
 
 
 _STATEMENTS = f"""
 marked AS (SELECT nullif(trim(lower(id)), '') AS id, claim, {_MARKED.format('claim')} AS marked FROM nodes WHERE claim IS NOT NULL),
-forms AS (SELECT id, claim, {_PLAIN.format('marked')} AS plain, coalesce({_fields('[;|\\r\\n]+')}, {_fields('[;|]+')}, {_fields(',')}) AS fields FROM marked),
+forms AS (SELECT id, claim, {_PLAIN.format('marked')} AS plain, list_max(list_filter([{_fields('[;|\\r\\n]+', 3)}, {_fields('[;|]+', 2)}, {_fields(',', 1)}], lambda x: x IS NOT NULL)).k AS fields FROM marked),
 plains AS (SELECT plain, min(fields) AS fields FROM forms WHERE id IS NOT NULL AND plain <> '' GROUP BY 1),
 keyed AS (SELECT f.id, f.claim, coalesce(chr(29) || p.fields, f.plain) AS key FROM forms f JOIN plains p USING (plain)),
 firsts AS (SELECT key, min(id) AS first_id FROM keyed GROUP BY 1)

@@ -38,17 +38,18 @@ def plain_form(c: Column) -> Column:
 def field_form(c: Column) -> Column:
     """Sorted distinct ``label=value`` in plain form for a list of at least two labelled fields, else null.
 
-    Fields are parted by ";" or "|" or line breaks, else by ";" or "|" alone (a line break may stand
-    inside a value), else by commas that are not between digits.
+    Fields are parted by ";" or "|" or line breaks, by ";" or "|" alone (a line break may stand inside
+    a value), or by commas that are not between digits: whichever gives the most fields.
     """
 
-    def keys(separator: str) -> Column:
+    def way(separator: str, rank: int) -> Column:
         parts = F.filter(F.split(c, separator), lambda s: s.rlike(r"[\p{L}\p{N}]"))
         one = F.transform(parts, lambda s: F.concat(plain_form(F.regexp_extract(s, FIELD, 1)), F.lit("\x1f"), plain_form(F.regexp_extract(s, FIELD, 2))))
         whole = (F.size(parts) >= 2) & F.forall(parts, lambda s: s.rlike(FIELD))
-        return F.when(whole, F.array_join(F.array_sort(F.array_distinct(one)), "\x1e"))
+        return F.when(whole, F.struct(F.size(parts).alias("n"), F.lit(rank).alias("rank"), F.array_join(F.array_sort(F.array_distinct(one)), "\x1e").alias("key")))
 
-    return F.when(c.rlike(MAYBE_LIST), F.coalesce(keys(r"[;|\r\n]+"), keys(r"[;|]+"), keys(r",(?!\p{N})|(?<!\p{N}),")))
+    ways = F.array_compact(F.array(way(r"[;|\r\n]+", 3), way(r"[;|]+", 2), way(r",(?!\p{N})|(?<!\p{N}),", 1)))
+    return F.when(c.rlike(MAYBE_LIST), F.array_max(ways)["key"])
 
 
 def hash128(c: Column) -> Column:
