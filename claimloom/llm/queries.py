@@ -18,7 +18,9 @@ llm = Registry()
 
 # SQL twin of statements.plain_form: marks between digits are set aside in private-use characters, twice for digits that stand alone.
 _MARKED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(\\p{{N}})\\.(\\p{{N}})', '\\1\ue010\\2', 'g'), '(\\p{{N}})\\.(\\p{{N}})', '\\1\ue010\\2', 'g'), '(\\p{{N}}),(\\p{{N}})', '\\1\ue011\\2', 'g'), '(\\p{{N}}),(\\p{{N}})', '\\1\ue011\\2', 'g')"
-_PLAIN = f"replace(lower(upper(regexp_replace({_MARKED}, '[^\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{N}}}}\ue010\ue011]', '', 'g'))), 'ß', 'ss')"
+# ligatures unfold as ß does
+_UNFOLDED = "replace(replace(replace(replace(replace({0}, 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+_PLAIN = f"replace(lower(upper(regexp_replace({_MARKED.replace('{0}', _UNFOLDED)}, '[^\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{N}}}}\ue010\ue011]', '', 'g'))), 'ß', 'ss')"
 _LIST = "(?s)^[^\\p{L}\\p{N}]*\\p{L}[\\p{L}\\p{M}\\p{N}_ .-]*?\\s*(?::|=|->|→)\\s*.*[\\p{L}\\p{N}].*$"
 _FIELD = "(?s)^[^\\p{L}\\p{N}]*(\\p{L}[\\p{L}\\p{M}\\p{N}_ .-]*?)\\s*(?::|=|->|→)\\s*(.*[\\p{L}\\p{N}].*)$"
 
