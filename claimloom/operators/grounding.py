@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import scalars as S
 from claimloom.operators.search import budget_idf, budget_postings, node_text
+from claimloom.runtime import staged
 
 C = F.col
 STRONG, WEAK, GROUNDED, PARTIAL = 0.60, 0.30, 0.80, 0.40
@@ -42,15 +43,22 @@ def supports(snap: DataFrame, claims: DataFrame) -> DataFrame:
 
     missing holds the numbers of the claim that the node lacks.
     """
-    idf = budget_idf(snap).select("token", "idf")
+    # One pass over the texts; frequencies, postings and scores read the written tokens.
+    own = F.array_distinct(S.budget_tokens(node_text()))
+    nodes = staged(snap.where("kind <> 'hub'").select("id", "seq", (~C("kind").isin("refuted", "outdated")).alias("live"), numbers(node_text()).alias("has"), own.alias("own")), "node-tokens")
+    post = nodes.select("id", F.explode("own").alias("token"))
+    n = nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
+    idf = staged(post.groupBy("token").agg(F.count(F.lit(1)).alias("df")).select("token", F.round(F.ln(1 + n / C("df")), 6).alias("idf")), "idf")
     unseen = idf.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("m")).scalar()
     ct = claims.select("answer_id", "pos", F.explode(F.array_distinct(S.budget_tokens(C("claim")))).alias("token")).join(idf, "token", "left")
     mass = ct.groupBy("answer_id", "pos").agg(F.sum(F.coalesce("idf", unseen)).alias("mass"))
     known = ct.where("idf is not null")
     rare = known.withColumn("r", F.row_number().over(Window.partitionBy("answer_id", "pos").orderBy(C("idf").desc(), "token"))).withColumn("seeks", C("r") <= CANDIDATE_TOKENS)
-    hit = rare.join(budget_postings(snap), "token").groupBy("answer_id", "pos", "id").agg(F.sum("idf").alias("got"), F.max("seeks").alias("seeks")).where("seeks")
-    nodes = snap.select("id", "seq", (~C("kind").isin("refuted", "outdated")).alias("live"), numbers(node_text()).alias("has"))
-    j = hit.join(mass, ["answer_id", "pos"]).join(claims.select("answer_id", "pos", numbers(C("claim")).alias("wants")), ["answer_id", "pos"]).join(nodes, "id")
+    # Candidates come from the rare tokens only; the mass they share is summed over the two token arrays.
+    found = rare.where("seeks").join(post, "token").select("answer_id", "pos", "id").distinct()
+    wanted = known.groupBy("answer_id", "pos").agg(F.array_sort(F.collect_list(F.struct("token", "idf"))).alias("ts"))
+    got = F.aggregate("ts", F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains("own", t["token"]), t["idf"]).otherwise(0.0))
+    j = found.join(wanted, ["answer_id", "pos"]).join(mass, ["answer_id", "pos"]).join(claims.select("answer_id", "pos", numbers(C("claim")).alias("wants")), ["answer_id", "pos"]).join(nodes, "id").withColumn("got", got)
     return j.select("answer_id", "pos", "id", "seq", F.round(C("got") / C("mass"), 6).alias("coverage"), "live", F.size(F.array_except("wants", "has")).alias("missing"))
 
 

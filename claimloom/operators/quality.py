@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import scalars as S
 from claimloom.operators.store import long_links
-from claimloom.runtime import norm_id
+from claimloom.runtime import norm_id, staged
 
 C = F.col
 DUPLICATE, CONTRARY = 0.55, 0.30
@@ -78,14 +78,15 @@ def relevance_gate(snap: DataFrame, queries: DataFrame, threshold: float = 2.0)
     return rows.join(q, F.exists("qt", lambda t: F.contains(C("claim"), t) | F.contains(C("context"), t) | F.contains(C("source"), t))).select("qid", "id", F.round(score, 6).alias("score"), F.when(score < threshold, "reject").otherwise("pass").alias("verdict"))
 
 
-def claim_pairs(snap: DataFrame, threshold: float = CONTRARY) -> DataFrame:
+def claim_pairs(facets: DataFrame, threshold: float, sides: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Pairs of rows with token similarity >= threshold, by an exact prefix-filter join (JN-5, JN-6, §4.3).
 
     Tokens are ordered from rare to frequent; two sets above the threshold share a token among their first
     n - ceil(t * n) + 1.  Equal token sets are one class, so copies are compared once: the result pairs classes,
-    and a class with itself stands for its members.  ``(a, b, similarity)`` with classes(cid, tokens).
+    and a class with itself stands for its members.  ``(a, b, similarity)``: every pair once with a < b, or only
+    pairs with a in the first and b in the second of ``sides(cid)``.
     """
-    classes = token_classes(snap)
+    classes = facets.select("cid", "tokens").dropDuplicates(["cid"])
     words = classes.select("cid", "tokens", F.explode("tokens").alias("w"))
     df = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     ranked = words.select("cid", "w").join(df, "w").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
@@ -93,31 +94,30 @@ def claim_pairs(snap: DataFrame, threshold: float = CONTRARY) -> DataFrame:
     prefix = ranked.select("cid", size.alias("size"), F.explode(F.slice("ws", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("x")).select("cid", "size", "x.w")
     other = prefix.select(C("cid").alias("b"), C("size").alias("size_b"), "w")
     ratio = (C("size") >= C("size_b") * threshold - 1e-9) & (C("size_b") >= C("size") * threshold - 1e-9)
-    met = prefix.join(other, "w").where((C("cid") < C("b")) & ratio).select(C("cid").alias("a"), "b").distinct()
+    if sides:
+        prefix = prefix.join(sides[0].select("cid"), "cid", "left_semi")
+        other = other.join(sides[1].select(C("cid").alias("b")), "b", "left_semi")
+    once = C("cid") != C("b") if sides else C("cid") < C("b")
+    met = prefix.join(other, "w").where(once & ratio).select(C("cid").alias("a"), "b").distinct()
     ta, tb = classes.select(C("cid").alias("a"), C("tokens").alias("ta")), classes.select(C("cid").alias("b"), C("tokens").alias("tb"))
     j = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
     return met.join(ta, "a").join(tb, "b").select("a", "b", F.round(j, 6).alias("similarity")).where(C("similarity") >= threshold)
 
 
-def token_classes(snap: DataFrame) -> DataFrame:
-    rows = snap.select(F.array_sort(F.array_distinct(S.content_tokens(C("claim")))).alias("tokens")).where(F.size("tokens") > 0)
-    return rows.distinct().select(F.xxhash64("tokens").alias("cid"), "tokens")
-
-
 def claim_facets(snap: DataFrame) -> DataFrame:
-    """``(id, seq, kind, weight, cid, neg, salient)`` of rows with tokens."""
+    """``(id, seq, kind, weight, tokens, cid, neg, salient)`` of rows with tokens, written once for all joins that follow."""
     rows = snap.select("id", "seq", "kind", S.falsy(C("weight"), 1.0).alias("weight"), F.array_sort(F.array_distinct(S.content_tokens(C("claim")))).alias("tokens"), S.has_negation(C("claim")).alias("neg"), S.salient(C("claim")).alias("salient"))
-    return rows.where(F.size("tokens") > 0).select("id", "seq", "kind", "weight", F.xxhash64("tokens").alias("cid"), "neg", "salient")
+    return staged(rows.where(F.size("tokens") > 0).withColumn("cid", F.xxhash64("tokens")), "facets")
 
 
-def gate_duplicates(snap: DataFrame) -> DataFrame:
+def gate_duplicates(snap: DataFrame, facets: DataFrame | None = None) -> DataFrame:
     """JN-5: each row with an earlier duplicate (similarity >= .55, same polarity, same salient set): the earliest one and their number of classes.
 
     Rows are folded to (class, polarity, salient set) first, so copies are never paired with each other.
     """
-    f = claim_facets(snap)
+    f = claim_facets(snap) if facets is None else facets
     kinds = f.groupBy("cid", "neg", "salient").agg(F.min(F.struct("seq", "id")).alias("first"))
-    pairs = claim_pairs(snap, DUPLICATE)
+    pairs = claim_pairs(f, DUPLICATE)
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
     here, there = kinds.select(C("cid").alias("a"), "neg", "salient"), kinds.select(C("cid").alias("b"), "neg", "salient", C("first").alias("f"))
     linked = both.join(here, "a").join(there, ["b", "neg", "salient"]).groupBy(C("a").alias("cid"), "neg", "salient").agg(F.min("f").alias("f"), F.count(F.lit(1)).alias("n"))
@@ -125,11 +125,12 @@ def gate_duplicates(snap: DataFrame) -> DataFrame:
     return f.join(best, ["cid", "neg", "salient"]).where(C("dup.seq") < C("seq")).select("id", C("dup.id").alias("duplicate_of"), "n_similar")
 
 
-def gate_contrary(snap: DataFrame) -> DataFrame:
+def gate_contrary(snap: DataFrame, facets: DataFrame | None = None) -> DataFrame:
     """JN-6: rows with a claim of opposite polarity at similarity >= .30: the earliest such row (by seq) and its standing."""
-    f = claim_facets(snap)
+    f = claim_facets(snap) if facets is None else facets
     kinds = f.groupBy("cid", "neg").agg(F.min(F.struct("seq", "id", "kind", "weight")).alias("first"))
-    pairs = claim_pairs(snap, CONTRARY)
+    # Only claims of opposite polarity meet; few claims are negative.
+    pairs = claim_pairs(f, CONTRARY, (f.where("neg").select("cid").distinct(), f.where("not neg").select("cid").distinct()))
     both = pairs.select("a", "b").union(pairs.select("b", "a")).union(kinds.select(C("cid").alias("a"), C("cid").alias("b")).distinct())
     here, there = kinds.select(C("cid").alias("a"), "neg"), kinds.select(C("cid").alias("b"), (~C("neg")).alias("neg"), C("first").alias("f"))
     linked = both.join(here, "a").join(there, ["b", "neg"]).groupBy(C("a").alias("cid"), "neg").agg(F.min("f").alias("f"))
@@ -138,7 +139,8 @@ def gate_contrary(snap: DataFrame) -> DataFrame:
 
 def consistency_gate(snap: DataFrame) -> DataFrame:
     """GT-4 with batch semantics: duplicates among earlier rows are rejected, contrary claims of strong facts too, of weak rows flagged."""
-    d, c = gate_duplicates(snap).select("id", "duplicate_of"), gate_contrary(snap)
+    f = claim_facets(snap)
+    d, c = gate_duplicates(snap, f).select("id", "duplicate_of"), gate_contrary(snap, f)
     refutes = (C("kind") == "refuted") & (F.size(F.coalesce("evidence", F.array().cast("array<string>"))) > 0)
     j = snap.select("id", "kind", "evidence").join(d, "id", "left").join(c, "id", "left")
     verdict = F.when(C("duplicate_of").isNotNull(), "reject").when(C("standing") == "strong", F.when(refutes, "pass").otherwise("reject")).when(C("standing") == "weak", "flag").otherwise("pass")
