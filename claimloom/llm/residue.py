@@ -1,8 +1,11 @@
 """Template residue and error-page text (problem 9).
 
 Lines are masked (numbers, addresses, dates), hashed and counted over all documents and
-hosts; lines that recur on several hosts are the furniture of sites (menus, notices,
-footers) unless the rules know them as messages.  What is left of a page is its body.
+hosts.  A line that recurs on several hosts is classified by phrase rules on its words; what
+they don't know as a message or filler is the furniture of sites (menus, notices, footers).
+Other lines go through the same rules if they are short.  The literal lines below are seeds:
+they are found exactly, in wrong charsets, and within lines that say a little more.  What is
+left of a page is its body.
 A page is residue when
   * a placeholder stands in it where a value should be (not where a sentence explains it),
   * filler makes up a large part of its body, or
@@ -120,6 +123,37 @@ LOREM = frozenset(
     veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse
     cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum""".split()
 )
+# Phrase rules: what the words of a message say, whatever line they stand in. Each is (kind, patterns that must all be found) on a masked line.
+_NOUN = r"\b(?:pages?|files?|address(?:es)?|urls?|links?|documents?|resources?|sites?|websites?|listings?|items?|articles?|products?|posts?|content|requests?|views?)\b"
+_GONE = r"(?:\b(?:not|n't|never|cannot|can't|unable to|failed to|could ?n[o']t)\b.{0,25}\b(?:find|found|located?|load(?:ed)?|open(?:ed)?|exists?(?:ed)?|available|reached|served?|displayed|processed|completed)\b|\bno longer\b|\b(?:has|have|was|were|been)\b.{0,12}\b(?:removed|deleted|moved|withdrawn|expired)\b|\b(?:unavailable|missing)\b)"
+_SCRIPT = r"(?:java ?scripts?|\bscripts?\b|\bscripting\b|\bjs\b|скрипт|脚本|腳本|スクリプト|자바스크립트|جافا ?سكريبت)"
+RULES = tuple(
+    (kind, tuple(re.compile(p) for p in parts))
+    for kind, *parts in (
+        ("script", _SCRIPT, r"\b(?:enabled?|enabling|activated?|allow(?:ed)?|permit|turn(?:ed)?|switch(?:ed)?|disabled?|blocked|off|requires?d?|needs?(?:ed)?|supports?(?:ed)?|must|without|missing|unavailable)\b|aktivier|einschalt|ausgeschaltet|benötig|erforder|\bactiv|\bhabilit|\bdesactiv|désactiv|requier|requiert|nécess|necesi|abilit|attiva|\bativ|włącz|inschakel|включ|отключ|требу|необходим|разреш|启用|开启|打开|啟用|禁用|需要|有効|無効|必要|オン|활성화|필요|تفعيل|تمكين"),
+        ("error", _NOUN, _GONE),
+        ("error", r"\b(?:can't|cannot|could not|couldn't|unable to|failed to)\b (?:\w+ )?\b(?:find|locate|load|open|display|reach|connect|establish|process|complete|serve|show)\b"),
+        ("error", r"\b(?:something|anything)\b.{0,12}\b(?:went wrong|broke|failed)\b|\b(?:an?|unexpected|unknown|internal|fatal|server|database|application|runtime)\b.{0,20}\b(?:error|failure|exception|fault)\b(?:.{0,12}\b(?:occurred|happened|encountered)\b|\W*$)|\berror code\b|\berror 0\b"),
+        ("error", r"\b(?:access|permission|request|entry)\b.{0,15}\b(?:denied|forbidden|refused|blocked|rejected|restricted)\b|\b(?:not|n't)\b.{0,20}\b(?:allowed|authori[sz]ed|permitted|permission|access)\b"),
+        ("error", r"\b(?:server|service|site|website|database|system|host|gateway|connection|we)\b.{0,30}\b(?:unavailable|down|offline|maintenance|overloaded|timed out|unreachable|not responding|busy)\b"),
+        ("error", r"\btoo many (?:requests|attempts|connections)\b|\brate limit|\b(?:try|retry|reload|come back|check back)\b.{0,20}\b(?:later|again|soon|minutes?|moment)\b"),
+        ("error", r"(?:seite|adresse|datei|dokument|inhalt|artikel|angebot)\b.{0,40}(?:nicht (?:gefunden|mehr|verfügbar|vorhanden)|existiert|gelöscht|entfernt|gibt es)|konnten? .{0,40}nicht .{0,20}(?:gefunden|geladen|gefunden werden|finden|öffnen)|zugriff .{0,12}(?:verweigert|gesperrt)|keine berechtigung|(?:server|interner |datenbank)-?fehler|fehler .{0,15}aufgetreten|etwas ist schief|später .{0,15}(?:erneut|nochmals|noch einmal|wieder)|wartungsarbeiten|(?:nicht erreichbar|nicht verfügbar)\W*$"),
+        ("error", r"\bintrouvable|n[’']existe (?:plus|pas)|n[’']a(?:vons)? pas (?:été |pu )?(?:être )?trouv|n[’']est (?:plus|pas) (?:disponible|accessible)|accès (?:refusé|interdit)|pas (?:l[’']autorisation|autorisé)|erreur (?:interne|du serveur|est survenue|s[’']est produite)|(?:problème|erreur).{0,12}(?:survenue?|produite?)|(?:réessayer|réessayez|revenez).{0,20}(?:plus tard|minutes|instants)|(?:indisponible|en maintenance)\b"),
+        ("error", r"\bno (?:se )?(?:ha(?:n)? )?(?:podido |pudo |puede )?(?:encontr|existe\b|disponible|está disponible)|ya no existe|acceso (?:denegado|prohibido)|no tiene (?:permiso|acceso)|error (?:interno|del servidor)|(?:ocurrido|producido) un (?:error|problema)|algo salió mal|(?:inténtelo|intente|vuelva).{0,25}(?:más tarde|nuevo|minutos)|en mantenimiento\b"),
+        ("error", r"\bnon (?:è stat[ao] )?(?:trovat[ao]|esiste|disponibile)|accesso negato|errore (?:interno|del server)|riprova|não (?:foi )?(?:encontrad[ao]|existe|disponível)|acesso negado|erro (?:interno|do servidor|\d)|tente novamente|niet gevonden|bestaat niet|toegang geweigerd|probeer het later|nie znaleziono|nie istnieje|odmowa dostępu|spróbuj ponownie"),
+        ("error", r"не найден|не существует|не удалось|(?:страниц|адрес|файл|документ).{0,30}(?:удал[её]н|перемещ|недоступ)|доступ.{0,40}(?:запрещ|закрыт|ограничен)|нет (?:прав|доступа|разрешения)|(?:внутренняя )?ошибка (?:сервера|базы|соединения|подключения)|(?:произошла|возникла) ошибка|(?:временно |сейчас )(?:не ?доступ|не работает)|технически[ех] работ|(?:попробуйте|повторите|зайдите).{0,25}(?:позже|позднее|ещё раз|снова)"),
+        ("error", r"(?:页面|網頁|网页|地址|文件|内容|链接|頁面).{0,12}(?:不存在|删除|刪除|移动|失效|下架)|找不到|未找到|无法(?:找到|打开|访问|显示|连接|加载)|無法(?:找到|開啟|存取)|(?:拒绝|禁止|被拒)访问|访问.{0,4}(?:被拒|受限)|(?:没有|無|无)(?:权限|權限)|(?:服务器|伺服器|系统|数据库|内部).{0,4}(?:错误|錯誤|异常|繁忙|故障)|(?:稍后|稍候|稍後|以后)(?:再|重)试?|暂时(?:不可用|无法)|(?:正在|系统)维护|出错了"),
+        ("error", r"見つかりません|見つかりませんでした|(?:ページ|ファイル|アドレス|url).{0,15}(?:存在しません|削除|移動|ありません)|アクセス.{0,6}(?:拒否|禁止|できません|権限)|権限がありません|(?:サーバー?|内部|システム|データベース).{0,6}(?:エラー|障害)|エラーが発生|(?:しばらく|後ほど|後で|時間を).{0,15}(?:お試し|試して|アクセス|再度)|(?:利用|表示|接続)できません|メンテナンス中|찾을 수 없|존재하지 않|접근.{0,6}거부|오류가 발생|다시 시도|غير موجود|تم رفض|حدث خطأ"),
+        ("filler", r"\b(?:your|sample|example|placeholder|dummy|filler|test|demo|default|some)\b (?:\w+ )?\b(?:text|copy|content|title|heading|headline|paragraph|description|caption|intro|subtitle|message)\b.{0,25}(?:\b(?:here|goes|below|soon|block|section|replace|launch|follows)\b|\W*$)|\b(?:text|copy|content|title|heading|headline|paragraph|description|caption|intro|subtitle)\b (?:goes|comes|will (?:go|appear|be|follow)|to (?:come|follow|be)|coming)\b"),
+        ("filler", r"\bunder construction\b|\bcoming soon\b|^\W*(?:todo|tbd|tba|fixme)\b\W*(?::|$)|\bto be (?:added|written|filled|completed|announced|determined)\b|\bclick (?:here )?to (?:edit|add|change)\b|\b(?:edit|change|replace) this (?:text|copy|content|paragraph|block|heading|title)\b|\b(?:add|insert|write|type|enter|put|place) (?:a |an |your |some |the )?(?:\w+ )?(?:text|copy|content|title|heading|paragraph|description|intro)\b"),
+        ("filler", r"(?:hier|beispiel|muster|platzhalter|blind|dummy)[ -]?(?:steht |kommt |folgt )?(?:ihr |der |dein )?(?:text|titel|inhalt)|(?:beschreibung|text|inhalt|titel) (?:folgt|kommt)|text(?:o|e) (?:de|d[’'])\s?(?:ejemplo|exemple|relleno|prueba|remplissage)|(?:escriba|escribe|introduzca|inserte) (?:aquí |su |tu )|(?:votre|saisissez|écrivez|insérez).{0,12}(?:texte|titre|contenu).{0,8}(?:ici|$)|(?:texte|contenu|description|descripción|contenido) (?:à venir|à compléter|próximamente|pendiente)|en (?:construcción|construction)\b"),
+        ("filler", r"(?:здесь|тут) (?:будет|появится|должен).{0,20}(?:текст|описан|заголов|контент)|(?:текст|описание|контент|заголовок).{0,12}(?:скоро|появится|будет добавлен|заглушк)|(?:пример|образец) текста|в разработке\W*$|(?:示例|占位|测试|样例|範例)(?:文字|文本|内容)|(?:内容|描述|介绍|简介)(?:待|即将|稍后)|(?:敬请期待|建设中|準備中|工事中|近日公開)|(?:ここ|こちら)に.{0,10}(?:文章|テキスト|本文|タイトル).{0,4}(?:入|書|記)|(?:サンプル|ダミー)(?:テキスト|文章)"),
+    )
+)
+#: Characters up to which a line can be a message by the phrase rules: of a line that recurs, of any other.
+RECUR_CHARS, LONE_CHARS = 240, 120
+#: Words of one who writes about messages.
+ABOUT = re.compile(r"\b(?:says?|said|wrote|writes|reported|called|known as|commonest|message was|messages|last (?:week|month|year)|yesterday|for example|such as|means)\b|[\"“”«»„「『]")
 REASONS = (
     "not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|service unavailable|internal server error|gone|request time-?out|"
     "method not allowed|not acceptable|conflict|payload too large|too many requests|web server is down|origin is unreachable|connection timed out|"
@@ -228,6 +262,36 @@ def _label(key: str) -> bool:
     return len(key) <= 20 if CJK.search(key) else len(key) <= 70 and key.count(" ") <= 3
 
 
+def _repeats(key: str) -> bool:
+    """One or two words over and over."""
+    words = [w for x in key.split(" ") if (w := x.strip(".,;:!?"))]
+    return len(words) >= 3 and len(set(words)) <= max(1, len(words) // 3) and words[0].isalpha()
+
+
+@lru_cache(maxsize=1)
+def _seeds() -> tuple[tuple[str, str], ...]:
+    """The literal lines without end marks, that a longer line can hold."""
+    own = {x.strip(" .!。…"): kind for kind, lines in (("script", SCRIPTS), ("error", ERRORS), ("filler", FILLERS)) for x in lines.strip().split("\n")}
+    return tuple((x, kind) for x, kind in own.items() if len(x) >= (4 if CJK.search(x) else 10))
+
+
+@lru_cache(maxsize=1 << 16)
+def rule_kind(key: str, recurs: bool) -> str | None:
+    """Kind of a masked line by what its words say: phrase rules, or a known line with a few words more.
+
+    A line that recurs on several hosts is told so at greater length; a lone one must be short and not speak about messages.
+    """
+    if len(key) > (RECUR_CHARS if recurs else LONE_CHARS) or ABOUT.search(key):
+        return None
+    for kind, parts in RULES:
+        if all(p.search(key) for p in parts):
+            return kind
+    for x, kind in _seeds():
+        if x in key and len(key) <= 2.5 * len(x) and (CJK.search(x) or re.search(rf"(?<!\w){re.escape(x)}(?!\w)", key)):
+            return kind
+    return "filler" if _repeats(key) else None
+
+
 def page_kind(text: str, recurring: set[int]) -> tuple[str, float] | None:
     """(kind, share of the body) if the page is residue."""
     if has_placeholder(text):
@@ -237,7 +301,7 @@ def page_kind(text: str, recurring: set[int]) -> tuple[str, float] | None:
         key = masked(line)
         if not key:
             continue
-        kind = line_kind(key)
+        kind = line_kind(key) or rule_kind(key, line_hash(key) in recurring)
         if kind:
             sums["filler" if kind == "filler" else "message"] += len(key)
         elif not _furniture(key, recurring) and not _label(key):

@@ -1,5 +1,5 @@
 import pytest
-from claimloom.llm.residue import has_placeholder, known_messages, line_kind, masked, page_kind, residue
+from claimloom.llm.residue import has_placeholder, known_messages, line_hash, line_kind, masked, page_kind, residue, rule_kind
 
 BODY = "The narrow valve rejected 57 records near Gracktru, while two committees compared notes about it for the rest of the day."
 
@@ -36,3 +36,21 @@ def test_operator(spark):
     d = spark.createDataFrame([(a, b, c, 1.0) for a, b, c in rows], "doc_id bigint, text string, host string, share double")
     assert [(r.doc_id, r.kind) for r in residue(d).collect()] == [(10, "message")]
     assert residue(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("line", ["Sorry, we couldn't locate the page you were looking for.", "Unfortunately this document has been removed by its owner.", "Service temporarily unavailable, please come back in an hour.", "Die angeforderte Datei existiert nicht.", "La page que vous cherchez est introuvable.", "El recurso solicitado no está disponible.", "Pagina non trovata", "Доступ к этой странице запрещён.", "您要找的页面不存在", "お探しのページは見つかりませんでした。", "You must switch on JavaScript before this shop can open.", "Ative o JavaScript para continuar.", "Your paragraph text goes here", "Contenido próximamente", "foo foo foo foo"])
+def test_unlisted_messages_are_told_by_their_words(line):
+    key = masked(line)
+    assert line_kind(key) is None or key in known_messages()
+    for recurring in (set(), {line_hash(key)}):
+        assert page_kind(f"Home\n{line}\n© 2020 zivo", recurring) is not None
+
+
+@pytest.mark.parametrize("line", ["Usamos cookies propias. Aceptar todo | Ajustes", "This site uses cookies to keep the lamps on. Accept all | Settings", "By browsing on you agree to our use of cookies. OK", "“Page not found” was the commonest message last year.", "Report a problem", "We value your privacy. Choose which cookies we may set."])
+def test_furniture_and_talk_of_messages_stay(line):
+    assert rule_kind(masked(line), True) is None and page_kind(f"{line}\n{BODY}", {line_hash(masked(line))}) is None
+
+
+def test_widely_recurring_message(spark):
+    d = spark.createDataFrame([(i, "Shop\nThe article you wanted was withdrawn by our editors.", f"h{i}", "s") for i in range(6)] + [(9, f"Shop\n{BODY}", "x", "s")], "doc_id bigint, text string, host string, source string")
+    assert sorted((r.doc_id, r.kind) for r in residue(d).collect()) == [(i, "message") for i in range(6)]
