@@ -8,14 +8,16 @@ Every tree of the forest hashes words anew and labels a class with its smallest
 that order: a path in a prefix trie.  Two classes meet in a tree where the first `depth`
 labels agree, which for word sets of similarity s happens with about s**depth.  Words in
 more than `common` of all classes say nothing about copies and would fill the tries, so
-labels come from the other words; classes with too few of them take all their words.
+labels come from the other, telling words on both sides.
 
-How long a matched prefix must be adapts.  The corpus decides where all tries start
-(`plan`): prefixes are shortened until the trees reach the target recall at the design
-similarity.  Where the words of a prefix are so frequent that more than `crowd` classes
-could share it, that path alone is prolonged.  Classes with a prolonged path, or with few
-telling words, also go through an exact prefix-filter join with each other, so a pair of
-them is never lost.  Each pair is verified by its exact similarity.
+The number of rows decides the depth of all tries, and the depth the number of trees
+(`plan`).  Where the words of a prefix are so frequent that more than `crowd` classes could
+share it, that path alone is prolonged.  No matched prefix is shortened.  Instead a class
+takes part in the trees only if they reach the target recall for the worst partner at the
+claim threshold (`at_risk`); any other class meets all classes in an exact prefix-filter
+join, filtered by position, size and a bitmap of the words.  Classes with a prolonged path
+meet each other there too.  So a pair with a class at risk is never lost; of the others the
+trees find TARGET at least.  Each pair is verified by its exact similarity.
 
 Null and blank claims, other scripts and claims with fewer than `min_words` distinct
 words are in no pair.  Repeated rows count once; extra columns are ignored.
@@ -48,6 +50,8 @@ DESIGN, TARGET = 0.5, 0.99
 CROWD = 1000
 MAX_DEPTH = 6
 FEW = 4
+#: kinds of places: a path of a tree; words of a class whose pairs the trees find, that has a prolonged path, whose pairs they can miss
+LABEL, PLAIN, PROLONGED, RISKY = range(4)
 
 WORD = re.compile(r"[\ẁ-ͯ]+")
 OTHER_SCRIPT = re.compile(r"[^\W\d_A-Za-zªµºÀ-ʯЀ-ԯḀ-ỿ]")
@@ -91,6 +95,11 @@ def plan(n: int, design: float = DESIGN, target: float = TARGET) -> tuple[int, i
     return depth, math.ceil(math.log(1 - target) / math.log(1 - design**depth))
 
 
+def at_risk(sizes: np.ndarray, told: np.ndarray, depth: int, trees: int, few: int) -> np.ndarray:
+    """Which classes have too few telling words for the trees."""
+    return told < few
+
+
 def _mix(words: np.ndarray, seed: int) -> np.ndarray:
     x = words ^ np.uint64(seed)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -133,7 +142,7 @@ def forest_labels(words: np.ndarray, starts: np.ndarray, df: np.ndarray, depth:
 
 
 def candidates(classes: DataFrame, common: float = COMMON, crowd: int = CROWD, trees: int | None = None, depth: int | None = None, few: int = FEW) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of class ids, a < b, that meet in a tree or in the exact join of the rest."""
+    """Distinct pairs ``(a, b)`` of class ids, a < b, that meet in a tree or in the exact join."""
     spark = classes.sparkSession
     n = classes.count()
     auto = plan(n)
@@ -160,31 +169,44 @@ def candidates(classes: DataFrame, common: float = COMMON, crowd: int = CROWD, t
             flat = lists.flatten().to_numpy()
             sizes = np.diff(lists.offsets.to_numpy())
             df = frequency(flat)
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             owner = np.repeat(np.arange(len(sizes)), sizes)
             telling = df <= limit
-            poor = np.bincount(owner[telling], minlength=len(sizes)) < few
-            used = telling | poor[owner]
-            kept = np.bincount(owner[used], minlength=len(sizes))
-            starts = np.concatenate(([0], np.cumsum(kept)[:-1]))
-            labels, prolonged = forest_labels(flat[used].view(np.uint64), starts, df[used], depth, trees, crowd)
+            told = np.bincount(owner[telling], minlength=len(sizes))
+            risky = at_risk(sizes, told, depth, trees, few)
             cid = batch.column("cid").to_numpy()
-            place = [labels.view(np.int64).ravel()]
-            who = [np.tile(cid, trees)]
-            # The rest: the rarest words of a set, as many as two sets above the threshold can't both miss.
-            rest = np.flatnonzero(poor | prolonged)
-            if len(rest):
-                offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                for i in rest:
-                    mine = slice(offsets[i], offsets[i + 1])
-                    by = np.lexsort((flat[mine], df[mine]))
-                    prefix = flat[mine][by][: len(by) - math.ceil(THRESHOLD * len(by)) + 1]
-                    place.append(_mix(prefix.view(np.uint64), 1).view(np.int64))
-                    who.append(np.full(len(prefix), cid[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(place)), pa.array(np.concatenate(who))], names=["place", "cid"])
-
-    places = map_batches(classes.select("cid", "words"), label, "place bigint, cid bigint")
-    other = places.select("place", F.col("cid").alias("other"))
-    return places.join(other, "place").where("cid < other").select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct()
+            kind = np.where(risky, RISKY, PLAIN)
+            columns = []
+            safe = np.flatnonzero(~risky)
+            if len(safe):
+                used = telling & ~risky[owner]
+                starts = np.concatenate(([0], np.cumsum(told[safe])[:-1]))
+                labels, prolonged = forest_labels(flat[used].view(np.uint64), starts, df[used], depth, trees, crowd)
+                kind[safe[prolonged]] = PROLONGED
+                none = np.zeros(labels.size, np.int64)
+                columns.append((labels.view(np.int64).ravel(), np.tile(cid[safe], trees), none, none, none, none, none))
+            # The rarest words of a set, as many as two sets above the threshold can't both miss.
+            by = np.lexsort((flat, df, owner))
+            pos = np.arange(len(flat)) - offsets[owner]
+            kept = pos < (sizes - np.ceil(THRESHOLD * sizes - 1e-9).astype(np.int64) + 1)[owner]
+            o, words = owner[kept], flat[by][kept].view(np.uint64)
+            bit = _mix(flat.view(np.uint64), 2) >> np.uint64(57)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            maps = [np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == half, one, np.uint64(0)), offsets[:-1]).view(np.int64) for half in (0, 1)]
+            columns.append((_mix(words, 1).view(np.int64), cid[o], kind[o], sizes[o], pos[kept], maps[0][o], maps[1][o]))
+            place, who, kinds, n_words, at, low, high = (np.concatenate(x) for x in zip(*columns, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(who), pa.array(kinds.astype(np.int8)), pa.array(n_words.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(low), pa.array(high)], names=["place", "cid", "kind", "n", "pos", "low", "high"])
+
+    places = map_batches(classes.select("cid", "words"), label, "place bigint, cid bigint, kind tinyint, n int, pos int, low bigint, high bigint")
+    other = places.select("place", *[F.col(c).alias(f"{c}_o") for c in places.columns if c != "place"])
+    # What two sets can still share after a common place, and how many words the bitmaps show to differ.
+    both = F.col("n") + F.col("n_o")
+    most = F.least(F.col("n") - F.col("pos"), F.col("n_o") - F.col("pos_o"))
+    differ = F.bit_count(F.col("low").bitwiseXOR(F.col("low_o"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_o")))
+    near = (most * (1 + THRESHOLD) + 1e-6 >= both * THRESHOLD) & (differ * (1 + THRESHOLD) <= both * (1 - THRESHOLD) + 1e-6)
+    exact = (F.greatest("kind", "kind_o") == RISKY) | (F.least("kind", "kind_o") == PROLONGED)
+    met = (F.col("cid") < F.col("cid_o")) & ((F.col("kind") == LABEL) & (F.col("kind_o") == LABEL) | (exact & near))
+    return places.join(other, "place").where(met).select(F.col("cid").alias("a"), F.col("cid_o").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

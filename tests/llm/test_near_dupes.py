@@ -62,3 +62,16 @@ def test_words_and_plan():
     assert word_set("a b c d e f g") is None and len(word_set("a b c d e f g h_i é é")) == 10
     depth, trees = plan(10_000)
     assert 1 - (1 - 0.5**depth) ** trees >= 0.99
+
+
+def test_poor_class_meets_a_class_with_more_telling_words(make_nodes):
+    """Three and four telling words beside common ones: labels of the two came from different word sets."""
+    common = [f"c{i}" for i in range(9)]
+    fill = [{"id": f"f{i}", "claim": " ".join(random.Random(i).sample(common, 8) + [f"f{i}x{j}" for j in range(30)])} for i in range(400)]
+    pairs = []
+    for i in range(40):
+        shared = " ".join([*common[:8], *(f"t{i}x{j}" for j in range(3))])
+        pairs += [{"id": f"p{i}", "claim": f"{shared} {common[8]}"}, {"id": f"q{i}", "claim": f"{shared} u{i}"}]
+    _, classes = claim_classes(make_nodes(*fill, *pairs))
+    got = {(r.a, r.b) for r in verified(candidates(classes), classes).collect()}
+    assert got == exact(classes) and len(got) == 40 + 40 * 39 // 2  # the poor ones also pair with each other
