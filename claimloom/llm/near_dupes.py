@@ -96,8 +96,15 @@ def plan(n: int, design: float = DESIGN, target: float = TARGET) -> tuple[int, i
 
 
 def at_risk(sizes: np.ndarray, told: np.ndarray, depth: int, trees: int, few: int) -> np.ndarray:
-    """Which classes have too few telling words for the trees."""
-    return told < few
+    """Which classes, of ``sizes`` words with ``told`` telling ones, can have a pair above the threshold that the trees miss more often than the target allows.
+
+    Of the partners that still reach the threshold the worst lacks (1 - THRESHOLD) of the words, all telling ones.
+    """
+    shared = told - np.floor((1 - THRESHOLD) * sizes + 1e-9)
+    p = np.ones(len(sizes))
+    for d in range(depth):
+        p *= np.clip((shared - d) / np.maximum(told - d, 1), 0, 1)
+    return (told < few) | (1 - (1 - p) ** trees < TARGET)
 
 
 def _mix(words: np.ndarray, seed: int) -> np.ndarray:
