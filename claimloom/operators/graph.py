@@ -6,6 +6,8 @@ a frontier with the edges, whose lineage is cut in the shared folder after every
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +34,14 @@ def neighbours(edges: DataFrame, snap: DataFrame, of: DataFrame) -> DataFrame:
     return out.unionByName(inc)
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_hops: int = 4) -> DataFrame:
-    """GR-2: smallest number of undirected edges from each source ``(id)`` to every node within ``max_hops``."""
+def distances(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """GR-2: smallest number of undirected edges from each source ``(id)`` to every node it reaches, or to those within ``max_hops``."""
     spark = edges.sparkSession
     root = stage_path(spark, "distances")
     e = edges.select("src", "dst").distinct()
     adj = staged(e.union(e.select("dst", "src")).distinct(), "adjacency", f"{root}/adjacency")
     front = staged(sources.select(C("id").alias("source"), C("id").alias("node"), F.lit(0).alias("hops")).distinct(), "front", f"{root}/seen/0")
-    for h in range(1, max_hops + 1):
+    for h in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         seen = spark.read.schema("source string, node string, hops int").option("recursiveFileLookup", True).parquet(f"{root}/seen")
         step = front.join(adj, C("node") == C("src")).select("source", C("dst").alias("node"), F.lit(h).alias("hops")).distinct()
         front = staged(step.join(seen, ["source", "node"], "left_anti"), "front", f"{root}/seen/{h}")

@@ -152,3 +152,19 @@ def test_code(spark):
     assert ("shop.cart.Cart.pay", "CALLS", "shop.cart.Cart.total") in e and ("shop.cart.Cart", "INHERITS", "shop.base.Record") in e and ("shop.cart.Cart.total", "USAGE", "sum") in e
     top = K.search(K.symbols(rec), K.sample_queries(spark)).where("rank = 1").collect()
     assert {r.qid: r.qname for r in top}[1] == "shop.cart.Cart.total"
+
+
+def test_paths_are_followed_to_the_end(spark):
+    """Farther than any fixed number of hops, and back round a cycle."""
+    line = [(f"a{i}", f"a{i + 1}") for i in range(9)] + [("a9", "a0"), ("a5", "b0"), ("b0", "b1"), ("b1", "b2")]
+    got = {r.node: r.hops for r in G.distances(spark.createDataFrame(line, "src string, dst string"), spark.createDataFrame([("a0",)], "id string")).collect()}
+    assert got == {**{f"a{i}": min(i, 10 - i) for i in range(10)}, "b0": 6, "b1": 7, "b2": 8}
+
+
+def test_path_query_holds_every_source_and_hop(spark):
+    import __spark_entry__ as entry
+    from conftest import DATA
+
+    d = str(DATA / "sf0.001")
+    part, whole = ({(r.source, r.node): r.hops for r in entry.queries()[q](spark, d).collect()} for q in ("graph_path_len", "graph_path_all"))
+    assert part.items() < whole.items() and max(whole.values()) > 4
