@@ -64,7 +64,11 @@ def supports(snap: DataFrame, claims: DataFrame) -> DataFrame:
 
 def verify_claims(snap: DataFrame, claims: DataFrame) -> DataFrame:
     """GN-1: verdict of each claim from its best live and best stale support."""
-    s = supports(snap, claims)
+    return verdicts(supports(snap, claims), claims)
+
+
+def verdicts(s: DataFrame, claims: DataFrame) -> DataFrame:
+    """GN-1 over the supports ``s`` of the claims."""
     top = s.groupBy("answer_id", "pos", "live").agg(F.max(F.struct("coverage", (-C("seq")).alias("s"), "id", "missing")).alias("b"))
     side = lambda x, name: top.where(x).select("answer_id", "pos", C("b.coverage").alias(f"{name}_cov"), C("b.id").alias(f"{name}_id"), C("b.missing").alias(f"{name}_missing"))
     j = claims.select("answer_id", "pos").join(side("live", "l"), ["answer_id", "pos"], "left").join(side("not live", "s"), ["answer_id", "pos"], "left")
@@ -92,7 +96,21 @@ def answer_verdicts(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def source_nodes(snap: DataFrame, claims: DataFrame, top: int = 3) -> DataFrame:
-    """AG-13: nodes behind an answer with their best coverage, from the top supports of claims that are not unsupported."""
+    """AG-13: nodes behind an answer with their best coverage, from the top supports of claims that are not unsupported.
+
+    Supports are live nodes, and stale ones where a claim is refuted or has no live candidate.
+    """
+    s = staged(supports(snap, claims).where("coverage > 0"), "supports")
+    judged = verdicts(s, claims).where("verdict <> 'unsupported'").select("answer_id", "pos", "verdict")
+    side = Window.partitionBy("answer_id", "pos")
+    wanted = F.max("live").over(side) & (C("verdict") != "refuted")
+    w = side.orderBy(C("coverage").desc(), "seq")
+    best = s.join(judged, ["answer_id", "pos"]).withColumn("wanted", wanted).where(C("live") == C("wanted")).withColumn("r", F.row_number().over(w)).where(C("r") <= top)
+    return best.groupBy("answer_id", "id").agg(F.max("coverage").alias("coverage"))
+
+
+def live_source_nodes(snap: DataFrame, claims: DataFrame, top: int = 3) -> DataFrame:
+    """The part of AG-13 with live nodes only, by the coverage of each node."""
     s = supports(snap, claims).where("live")
     w = Window.partitionBy("answer_id", "pos").orderBy(C("coverage").desc(), "seq")
     best = s.withColumn("r", F.row_number().over(w)).where((C("r") <= top) & (C("coverage") >= WEAK))

@@ -72,6 +72,13 @@ def ground_verdict(s: SparkSession, d: str) -> DataFrame:
 
 @core.query("source_nodes", f"WITH {SNAP}, {_CLAIMS}, {_SUP}, k AS (SELECT * FROM sp WHERE live QUALIFY row_number() OVER (PARTITION BY answer_id, pos ORDER BY coverage DESC, seq) <= 3) SELECT answer_id, id, max(coverage) AS coverage FROM k WHERE coverage >= 0.3 GROUP BY ALL")
 def source_nodes(s: SparkSession, d: str) -> DataFrame:
+    """The part of source_nodes_all that its SQL states: live nodes only."""
+    return G.live_source_nodes(snap(s, d), G.split_claims(answers(s, d)))
+
+
+@core.query("source_nodes_all")
+def source_nodes_all(s: SparkSession, d: str) -> DataFrame:
+    """AG-13 whole: also stale nodes, where a claim rests on them."""
     return G.source_nodes(snap(s, d), G.split_claims(answers(s, d)))
 
 

@@ -168,3 +168,16 @@ def test_path_query_holds_every_source_and_hop(spark):
     d = str(DATA / "sf0.001")
     part, whole = ({(r.source, r.node): r.hops for r in entry.queries()[q](spark, d).collect()} for q in ("graph_path_len", "graph_path_all"))
     assert part.items() < whole.items() and max(whole.values()) > 4
+
+
+def test_sources_fall_back_to_stale_nodes(spark, make_nodes):
+    """A refuted claim and one without live candidates rest on stale nodes; an unsupported one has none."""
+    n = make_nodes(
+        {"id": "old", "kind": "outdated", "claim": "granite bridges carry forty wagons"},
+        {"id": "bad", "kind": "refuted", "claim": "purple turbines whistle nightly"},
+        {"id": "dim", "claim": "purple curtains"},
+        {"id": "good", "claim": "silver harbours freeze early"},
+        {"id": "gone", "kind": "refuted", "claim": "silver harbours"},
+    )
+    claims = spark.createDataFrame([(1, 1, "granite bridges carry forty wagons"), (2, 1, "purple turbines whistle nightly"), (3, 1, "silver harbours freeze early"), (4, 1, "unheard lanterns wander silver meadows slowly northward")], "answer_id int, pos int, claim string")
+    assert {(r.answer_id, r.id) for r in N.source_nodes(n, claims).collect()} == {(1, "old"), (2, "bad"), (3, "good")}
