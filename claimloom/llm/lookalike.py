@@ -7,9 +7,12 @@ token runs through a lattice of look-alike letters, in which Viterbi finds the b
 path under character bigrams that keep to one script.
 
 All tokens that look the same share one lattice, so they get the same form whatever
-their letters were.  Two shortcuts give what the search would: a token without
-look-alike letters stays, and one with a letter of its own in just one script takes
-that script.  Raised and lowered digits, fractions and circled characters look different
+their letters were.  A token with a letter of its own in just one script takes that
+script, as the search would.  A token of look-alikes alone takes the script of the
+tokens round it that have one: of its own chunk between blanks, then of the words on both
+sides; a chunk with digits is a code, Latin if nothing in it says otherwise.  Only where neighbours differ or
+are missing does the search decide.  Copies agree in these tokens, so they get the same
+form.  Raised and lowered digits, fractions and circled characters look different
 and stay; so do letter case and accents.
 
 Null text stays null and has no group; empty and blank texts have the form "".
@@ -42,8 +45,11 @@ SCRIPTS = ("latin", "cyrillic", "greek", "armenian")
 
 #: compatibility decompositions that change the look
 DIFFERENT = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<noBreak> 0F0B")
-KEPT = frozenset("ſ")
+#: letters with a compatibility decomposition that look like another letter than its result
+KEPT = frozenset("ſϲϹ")
 TOKEN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ʯ̀-ͯͰ-֏Ḁ-῿]+")
+CHUNK = re.compile(r"\S+")
+BREAK = re.compile(r"[\r\n]+")
 SWITCH = -12.0
 #: letters of the four scripts, two at a time, bound the table of bigrams
 MAX_BIGRAMS = 1 << 20
@@ -121,9 +127,9 @@ class Normaliser:
             self.after[pair[0]] += n
         self.options = lattice()
         self.cache: dict[str, str] = {}
-        # A token of these letters alone, or with any letter outside ASCII, needs the lattice.
-        plain = "".join(sorted(c for c in self.options if c.isascii()))
-        self.ascii_risk = re.compile(f"(?<![A-Za-z])[{plain}]+(?![A-Za-z])")
+        self.kinds: dict[str, str | None] = {}
+        # One letter that only Latin has makes all tokens of an ASCII text Latin.
+        self.own_ascii = re.compile("[" + "".join(c for c in map(chr, range(65, 123)) if c.isalpha() and c not in self.options) + "]")
 
     def score(self, a: str, b: str) -> float:
         return math.log((self.counts.get(a + b, 0) + 0.1) / (self.after.get(a, 0) + 50.0))
@@ -159,15 +165,75 @@ class Normaliser:
             paths = nxt
         return unicodedata.normalize("NFC", max((s + self.score(b, " "), p) for (_, b), (s, p) in paths.items())[1])
 
-    def text(self, text: str | None) -> str | None:
+    def kind(self, token: str) -> str | None:
+        """The one script of the token's own letters, "" if all are look-alikes, None if it mixes scripts."""
+        known = self.kinds.get(token, self)
+        if known is self:
+            if len(self.kinds) > 200_000:
+                self.kinds.clear()
+            own = {script_of(c) for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c) and c not in self.options}
+            known = self.kinds[token] = "" if not own else own.pop() if len(own) == 1 else None
+        return known
+
+    def in_script(self, token: str, script: str) -> str | None:
+        """The token in the letters of a script, if it has them all."""
+        parts = unicodedata.normalize("NFD", token)
+        if all(unicodedata.combining(c) or script in self.options[c] for c in parts):
+            return unicodedata.normalize("NFC", "".join(c if unicodedata.combining(c) else self.options[c][script] for c in parts))
+        return None
+
+    def tokens(self, text: str) -> str:
+        """Every token in its one form; one pass each way, however long the text."""
+        spans = list(TOKEN.finditer(text))
+        kinds = [self.kind(m[0]) for m in spans]
+        scripts = self.round_scripts(text, spans, kinds) if "" in kinds else kinds
+        out, at = [], 0
+        for m, kind, script in zip(spans, kinds, scripts, strict=True):
+            form = self.in_script(m[0], script) if kind == "" and script else None
+            out += text[at : m.start()], form or self.token(m[0])
+            at = m.end()
+        return "".join([*out, text[at:]])
+
+    def round_scripts(self, text: str, spans: list[re.Match[str]], kinds: list[str | None]) -> list[str | None]:
+        """For each token the script that its chunk between blanks has, else the one that the words round it agree on.
+
+        Chunks with digits are codes: they don't count as words round others.
+        """
+        chunks, i = [], 0
+        for chunk in CHUNK.finditer(text):
+            j = i
+            while j < len(spans) and spans[j].start() < chunk.end():
+                j += 1
+            if j > i:
+                alone = j == i + 1 and len(spans[i][0]) == len(chunk[0])
+                chunks.append((i, j, alone, any(c.isdigit() for c in chunk[0]), next((k for k in kinds[i:j] if k), None)))
+            i = j
+        before: list[str | None] = []
+        after: list[str | None] = []
+        for found, order in ((before, chunks), (after, reversed(chunks))):
+            last = None
+            for _, _, _, code, script in order:
+                found.append(last)
+                last = last if code else script or last
+        out: list[str | None] = []
+        for (i, j, alone, code, script), a, b in zip(chunks, before, reversed(after), strict=True):
+            own = None if alone else script or ("latin" if code else None)
+            out += [own or (a if a == b or not b else b if not a else None)] * (j - i)
+        return out
+
+    def lines(self, text: str | None) -> str | None:
+        """The one form of a text with its line breaks: a list of labelled fields may be parted by them."""
         if text is None:
             return None
-        if text.isascii():
-            text = self.ascii_risk.sub(lambda m: self.token(m[0]), text)
-        else:
-            text = unicodedata.normalize("NFC", text.translate(compat_table()))
-            text = TOKEN.sub(lambda m: self.token(m[0]), text)
-        return " ".join(text.split())
+        if not text.isascii():
+            text = self.tokens(unicodedata.normalize("NFC", text.translate(compat_table())))
+        elif not self.own_ascii.search(text):
+            text = self.tokens(text)
+        return "\n".join(x for line in BREAK.split(text) if (x := " ".join(line.split())))
+
+    def text(self, text: str | None) -> str | None:
+        form = self.lines(text)
+        return form and form.replace("\n", " ")
 
 
 def corpus_bigrams(texts: DataFrame, column: str) -> dict[str, int]:

@@ -4,23 +4,26 @@ A claim in its one consistent form (problem 5) is the set of its words.  Claims
 same letters and the same set are one class; classes are compared, members join at the
 end, so copies are never compared with each other.
 
-Every tree of the forest hashes words anew and labels a class with its smallest words in
-that order: a path in a prefix trie.  Two classes meet in a tree where the first `depth`
-labels agree, which for word sets of similarity s happens with about s**depth.  Words in
-more than `common` of all classes say nothing about copies and would fill the tries, so
-labels come from the other, telling words on both sides.
-
-The number of rows decides the depth of all tries, and the depth the number of trees
-(`plan`).  Where the words of a prefix are so frequent that more than `crowd` classes could
-share it, that path alone is prolonged.  No matched prefix is shortened.  Instead a class
-takes part in the trees only if they reach the target recall for the worst partner at the
-claim threshold (`at_risk`); any other class meets all classes in an exact prefix-filter
-join, filtered by position, size and a bitmap of the words.  Classes with a prolonged path
-meet each other there too.  So a pair with a class at risk is never lost; of the others the
-trees find TARGET at least.  Each pair is verified by its exact similarity.
-
-Null and blank claims, other scripts and claims with fewer than `min_words` distinct
-words are in no pair.  Repeated rows count once; extra columns are ignored.
+Every tree of the forest orders all words anew.  The signature of a class in a tree is the
+sequence of its words in that order, a path in a sorted prefix trie.  Two classes agree on
+a prefix as long as no word of just one of them comes first.  The matched prefix is
+shortened adaptively, to the first node that few classes can share: it ends with the
+``hits``-th word held by at most ``cap`` classes, wherever in the path that is.  All words
+take part, frequent ones too; they only don't end a path.
+
+How far prefixes are shortened follows from the target recall.  Of all partners at the
+claim threshold the worst lacks or adds telling words only (`least_meeting`), which gives
+the least chance to meet in a tree, and so the trees that a class needs.  Where these are
+more than TREES, the class shortens its prefixes further: the cap grows by the factor WIDEN
+as often as needed, in the end to all classes, where every path is a single word.  A class
+also stands in the tries of the smaller caps before, so two classes always meet in those of
+the one that needed less.  No class is left out and no node is cut.  Among the pairs of
+first cap and hits the one with the least cost, rows plus expected meetings, is taken
+(`plan`): larger corpora get longer prefixes and more trees.
+
+Pairs that meet are filtered by size and a bitmap of words and verified by their exact
+similarity.  Null and blank claims, other scripts and claims with fewer than `min_words`
+distinct words are in no pair.  Repeated rows count once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,16 +45,12 @@ from claimloom.runtime import map_batches, norm_id, staged
 
 THRESHOLD = 0.6
 MIN_WORDS = 8
-#: share of classes above which a word is common, and from which its frequency is broadcast:
-#: at most (words a class) / RARE_FROM words, whatever the size of the corpus
-COMMON, RARE_FROM = 0.005, 1e-4
-#: similarity of the telling words of a pair at the threshold, and recall wanted there
-DESIGN, TARGET = 0.5, 0.99
-CROWD = 1000
-MAX_DEPTH = 6
-FEW = 4
-#: kinds of places: a path of a tree; words of a class whose pairs the trees find, that has a prolonged path, whose pairs they can miss
-LABEL, PLAIN, PROLONGED, RISKY = range(4)
+#: least chance that a pair at the threshold is met, whatever the frequency of the words it shares
+TARGET = 0.99
+#: share of classes from which on the frequency of a word is broadcast: at most (words a class) / RARE_FROM words, whatever the size of the corpus
+RARE_FROM = 1e-4
+#: trees of one cap at most; factor from one cap to the next; most words of a prefix that must be telling; cost of a row in meetings
+TREES, WIDEN, HITS, ROW_COST = 48, 4, 3, 64
 
 WORD = re.compile(r"[\ẁ-ͯ]+")
 OTHER_SCRIPT = re.compile(r"[^\W\d_A-Za-zªµºÀ-ʯЀ-ԯḀ-ỿ]")
@@ -76,7 +75,7 @@ def claim_classes(nodes: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = make()
         for batch in batches:
-            forms = [n.text(t) for t in batch.column("claim").to_pylist()]
+            forms = [n.lines(t) for t in batch.column("claim").to_pylist()]
             sets = [word_set(f, min_words) for f in forms]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(forms, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "form", "words"])
 
@@ -89,22 +88,54 @@ def claim_classes(nodes: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFra
     return every.select("id", "cid").distinct(), classes
 
 
-def plan(n: int, design: float = DESIGN, target: float = TARGET) -> tuple[int, int]:
-    """Depth and number of trees: the longest prefix that keeps chance meetings in proportion, and the trees that then reach the target."""
-    depth = 2 if n <= 2e7 else 3 if n <= 2e9 else 4
-    return depth, math.ceil(math.log(1 - target) / math.log(1 - design**depth))
+def least_meeting(sizes: np.ndarray, telling: np.ndarray, hits: int) -> np.ndarray:
+    """Chance that a class of ``sizes`` words, ``telling`` of them telling, agrees with its worst partner at the threshold on a prefix with ``hits`` telling words.
+
+    The partner lacks x words and adds y, all of them telling: telling - x are shared, and each must come before the x + y others.
+    """
+    worst = np.ones(len(sizes))
+    for share in (0.0, 0.1, 0.2, (1 - THRESHOLD) / (1 + THRESHOLD), 0.3, 1 - THRESHOLD):
+        lacks = np.floor(share * sizes + 1e-9)
+        adds = np.maximum(np.floor((sizes - lacks) / THRESHOLD - sizes + 1e-9), 0)
+        p = np.ones(len(sizes))
+        for i in range(hits):
+            p *= np.clip(telling - lacks - i, 0, None) / np.maximum(telling + adds - i, 1)
+        worst = np.minimum(worst, p)
+    return np.minimum(worst, 1.0)
+
+
+def trees_needed(sizes: np.ndarray, telling: np.ndarray, hits: int) -> np.ndarray:
+    """Trees in which the worst partner is met with the target recall; more than TREES stands for too many."""
+    p = np.minimum(least_meeting(sizes, telling, hits), 1 - 1e-9)
+    few = p > 1e-6
+    return np.where(few, np.minimum(np.ceil(math.log(1 - TARGET) / np.log1p(-np.where(few, p, 0.5))), TREES + 1), TREES + 1).astype(np.int64)
 
 
-def at_risk(sizes: np.ndarray, told: np.ndarray, depth: int, trees: int, few: int) -> np.ndarray:
-    """Which classes, of ``sizes`` words with ``told`` telling ones, can have a pair above the threshold that the trees miss more often than the target allows.
+def chain(cap: int, n: int) -> list[int]:
+    """The caps that prefixes are shortened by, one after another; the last lets every word end a path."""
+    caps = [cap]
+    while caps[-1] < n:
+        caps.append(min(caps[-1] * WIDEN, n))
+    return caps
 
-    Of the partners that still reach the threshold the worst lacks (1 - THRESHOLD) of the words, all telling ones.
+
+def plan(n: int, mean: float, found: dict[tuple[int, int], tuple[float, float]], together: dict[int, float]) -> tuple[int, int]:
+    """The ``(cap, hits)`` of least cost.
+
+    ``found`` has the share of classes that reach the target and the mean number of trees for each cap and hits,
+    ``together`` the chance that two classes have the same telling first word.
     """
-    shared = told - np.floor((1 - THRESHOLD) * sizes + 1e-9)
-    p = np.ones(len(sizes))
-    for d in range(depth):
-        p *= np.clip((shared - d) / np.maximum(told - d, 1), 0, 1)
-    return (told < few) | (1 - (1 - p) ** trees < TARGET)
+
+    def cost(cap: int, hits: int) -> float:
+        left, total = 1.0, 0.0
+        for c in chain(cap, n):
+            near = min((x for x, h in found if h == hits), key=lambda x: abs(x - c))
+            reached, trees = found[near, hits]
+            total += left * n * trees * ROW_COST + trees * (left * n) ** 2 / 2 * together[near] ** hits
+            left = min(left, 1 - reached)
+        return total
+
+    return min(found, key=lambda k: (cost(*k), k))
 
 
 def _mix(words: np.ndarray, seed: int) -> np.ndarray:
@@ -114,106 +145,108 @@ def _mix(words: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def forest_labels(words: np.ndarray, starts: np.ndarray, df: np.ndarray, depth: int, trees: int, crowd: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labels (trees x classes) of the paths, and which classes have a prolonged path.
+def prefixes(words: np.ndarray, starts: np.ndarray, telling: np.ndarray, hits: int, tree: int) -> np.ndarray:
+    """Hash of each class's prefix in a tree, up to its ``hits``-th telling word; every class has that many.
 
-    ``words`` holds the sets one after another, ``starts`` where each begins (no set is empty), ``df`` the frequency of each word.
+    ``words`` holds the sets one after another, ``starts`` where each begins.  The words of a prefix in the order of the
+    tree are those up to its last one, so a sum over them names the node.
     """
-    n = len(starts)
-    sizes = np.diff(np.append(starts, len(words)))
-    owner = np.repeat(np.arange(n), sizes)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    labels = np.empty((trees, n), np.uint64)
-    prolonged = np.zeros(n, bool)
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
     with np.errstate(over="ignore"):
-        for t in range(trees):
-            h = _mix(words, (t + 1) * 0x632BE59BD9B4E019 % (1 << 64))
-            label = np.full(n, np.uint64(t + 1))
-            least = np.full(n, np.iinfo(np.int64).max)
-            open_ = np.ones(n, bool)
-            for d in range(MAX_DEPTH):
-                m = np.minimum.reduceat(h, starts)
-                at = (h == m[owner]) & (m[owner] != top)
-                f = np.full(n, np.iinfo(np.int64).max)
-                np.minimum.at(f, owner[at], df[at])
-                label = np.where(open_, _mix(label * np.uint64(0x2545F4914F6CDD1D) ^ m, d + 77), label)
-                least = np.where(open_, np.minimum(least, f), least)
-                h = np.where(at, top, h)
-                if d + 1 >= depth:
-                    open_ = open_ & (least > crowd)
-                    if not open_.any():
-                        break
-                    prolonged |= open_
-            labels[t] = label
-    return labels, prolonged
+        order = _mix(words, (tree + 1) * 0x632BE59BD9B4E019 % (1 << 64))
+        ends = np.where(telling, order, top)
+        for _ in range(hits - 1):
+            ends = np.where(ends > np.minimum.reduceat(ends, starts)[owner], ends, top)
+        inside = order <= np.minimum.reduceat(ends, starts)[owner]
+        return np.add.reduceat(np.where(inside, _mix(order, 77), np.uint64(0)), starts)
 
 
-def candidates(classes: DataFrame, common: float = COMMON, crowd: int = CROWD, trees: int | None = None, depth: int | None = None, few: int = FEW) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of class ids, a < b, that meet in a tree or in the exact join."""
+def candidates(classes: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of class ids, a < b, that share a prefix in a tree and can be similar enough."""
     spark = classes.sparkSession
     n = classes.count()
-    auto = plan(n)
-    depth, trees = depth or auto[0], trees or auto[1]
     floor = max(1, int(RARE_FROM * n))
     frequent = classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor)
     known = frequent.toArrow()
     order = np.argsort(known.column("w").to_numpy())
-    table = spark.sparkContext.broadcast((known.column("w").to_numpy()[order], known.column("n").to_numpy()[order]))
-    limit = max(1, int(common * n))
-
-    def frequency(flat: np.ndarray) -> np.ndarray:
+    freq = known.column("n").to_numpy()[order].astype(np.int64)
+    table = spark.sparkContext.broadcast((known.column("w").to_numpy()[order], freq))
+    grid = [floor]
+    while grid[-1] < n:
+        grid.append(min(grid[-1] * 2, n))
+
+    def sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = batch.column("words")
+        flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
         w, f = table.value
         if not len(w):
-            return np.full(len(flat), floor, np.int64)
+            return flat, np.diff(offsets), np.full(len(flat), floor, np.int64)
         i = np.minimum(np.searchsorted(w, flat), len(w) - 1)
-        return np.where(w[i] == flat, f[i], floor).astype(np.int64)
+        return flat, np.diff(offsets), np.where(w[i] == flat, f[i], floor)
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(grid), HITS, 3))
+        words = 0
+        for batch in batches:
+            if batch.num_rows:
+                _, sizes, df = sets(batch)
+                starts = np.cumsum(sizes) - sizes
+                words += len(df)
+                for i, cap in enumerate(grid):
+                    told = np.add.reduceat((df <= cap).astype(np.int64), starts)
+                    for h in range(HITS):
+                        need = trees_needed(sizes, told, h + 1)
+                        total[i, h] += (need <= TREES).sum(), np.minimum(need, TREES).sum(), len(sizes)
+        i, h = (x.ravel() for x in np.indices((len(grid), HITS)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i, h + 1, *total.reshape(-1, 3).T, np.full(len(i), words))], names=["i", "hits", "reached", "trees", "rows", "words"])
+
+    seen = map_batches(classes.select("words"), survey, "i bigint, hits bigint, reached double, trees double, rows double, words bigint")
+    seen = seen.groupBy("i", "hits").agg(F.sum("reached"), F.sum("trees"), F.sum("rows"), F.sum("words")).collect()
+    mean = max((r[5] / r[4] for r in seen if r[4]), default=1.0)
+    found = {(grid[r[0]], r[1]): (r[2] / r[4], r[3] / r[4]) for r in seen if r[4]} or {(1, 1): (1.0, 1.0)}
+    together = {cap: (float((freq[freq <= cap].astype(float) ** 2).sum()) / max(n, 1) + mean * floor) / (mean * mean * max(n, 1)) for cap in [1, *grid]}
+    cap, hits = plan(n, mean, found, together)
+    caps = chain(cap, n)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("words")
-            flat = lists.flatten().to_numpy()
-            sizes = np.diff(lists.offsets.to_numpy())
-            df = frequency(flat)
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            telling = df <= limit
-            told = np.bincount(owner[telling], minlength=len(sizes))
-            risky = at_risk(sizes, told, depth, trees, few)
+            flat, sizes, df = sets(batch)
             cid = batch.column("cid").to_numpy()
-            kind = np.where(risky, RISKY, PLAIN)
-            columns = []
-            safe = np.flatnonzero(~risky)
-            if len(safe):
-                used = telling & ~risky[owner]
-                starts = np.concatenate(([0], np.cumsum(told[safe])[:-1]))
-                labels, prolonged = forest_labels(flat[used].view(np.uint64), starts, df[used], depth, trees, crowd)
-                kind[safe[prolonged]] = PROLONGED
-                none = np.zeros(labels.size, np.int64)
-                columns.append((labels.view(np.int64).ravel(), np.tile(cid[safe], trees), none, none, none, none, none))
-            # The rarest words of a set, as many as two sets above the threshold can't both miss.
-            by = np.lexsort((flat, df, owner))
-            pos = np.arange(len(flat)) - offsets[owner]
-            kept = pos < (sizes - np.ceil(THRESHOLD * sizes - 1e-9).astype(np.int64) + 1)[owner]
-            o, words = owner[kept], flat[by][kept].view(np.uint64)
-            bit = _mix(flat.view(np.uint64), 2) >> np.uint64(57)
-            one = np.uint64(1) << (bit & np.uint64(63))
-            maps = [np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == half, one, np.uint64(0)), offsets[:-1]).view(np.int64) for half in (0, 1)]
-            columns.append((_mix(words, 1).view(np.int64), cid[o], kind[o], sizes[o], pos[kept], maps[0][o], maps[1][o]))
-            place, who, kinds, n_words, at, low, high = (np.concatenate(x) for x in zip(*columns, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(who), pa.array(kinds.astype(np.int8)), pa.array(n_words.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(low), pa.array(high)], names=["place", "cid", "kind", "n", "pos", "low", "high"])
-
-    places = map_batches(classes.select("cid", "words"), label, "place bigint, cid bigint, kind tinyint, n int, pos int, low bigint, high bigint")
-    other = places.select("place", *[F.col(c).alias(f"{c}_o") for c in places.columns if c != "place"])
-    # What two sets can still share after a common place, and how many words the bitmaps show to differ.
+            starts = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            bit = np.uint64(1) << (_mix(flat.view(np.uint64), 2) >> np.uint64(58))
+            bits = np.bitwise_or.reduceat(bit, starts).view(np.int64)
+            left = np.ones(len(sizes), bool)
+            places, who = [], []
+            for level, c in enumerate(caps):
+                telling = df <= c
+                told = np.add.reduceat(telling.astype(np.int64), starts)
+                # The last cap serves every class left, whatever it needs.
+                need = np.minimum(trees_needed(sizes, told, hits), TREES)
+                done = trees_needed(sizes, told, hits) <= TREES if level + 1 < len(caps) else left
+                for t in range(TREES):
+                    rows = left & (told >= hits) & (t < need)
+                    if not rows.any():
+                        break
+                    used = rows[owner]
+                    found_at = prefixes(flat[used].view(np.uint64), np.cumsum(sizes[rows]) - sizes[rows], telling[used], hits, t)
+                    places.append(_mix(found_at, (level * TREES + t + 1) * 0x2545F4914F6CDD1D % (1 << 64)).view(np.int64))
+                    who.append(np.flatnonzero(rows))
+                left = left & ~done
+            if places:
+                place, at = np.concatenate(places), np.concatenate(who)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(cid[at]), pa.array(sizes[at].astype(np.int32)), pa.array(bits[at])], names=["place", "cid", "n", "bits"])
+
+    nodes = map_batches(classes.select("cid", "words"), label, "place bigint, cid bigint, n int, bits bigint")
+    other = nodes.select("place", *[F.col(c).alias(f"{c}_o") for c in nodes.columns if c != "place"])
+    # What sizes and bitmaps already show: the smaller set is too small, or too many words differ.
     both = F.col("n") + F.col("n_o")
-    most = F.least(F.col("n") - F.col("pos"), F.col("n_o") - F.col("pos_o"))
-    differ = F.bit_count(F.col("low").bitwiseXOR(F.col("low_o"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_o")))
-    near = (most * (1 + THRESHOLD) + 1e-6 >= both * THRESHOLD) & (differ * (1 + THRESHOLD) <= both * (1 - THRESHOLD) + 1e-6)
-    exact = (F.greatest("kind", "kind_o") == RISKY) | (F.least("kind", "kind_o") == PROLONGED)
-    met = (F.col("cid") < F.col("cid_o")) & ((F.col("kind") == LABEL) & (F.col("kind_o") == LABEL) | (exact & near))
-    return places.join(other, "place").where(met).select(F.col("cid").alias("a"), F.col("cid_o").alias("b")).distinct()
+    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_o")))
+    near = (F.least("n", "n_o") + 1e-6 >= F.greatest("n", "n_o") * THRESHOLD) & (differ * (1 + THRESHOLD) <= both * (1 - THRESHOLD) + 1e-6)
+    return nodes.join(other, "place").where((F.col("cid") < F.col("cid_o")) & near).select(F.col("cid").alias("a"), F.col("cid_o").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -227,21 +260,21 @@ def verified(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD)
     return joined.where((F.col("key_a") != F.col("key_b")) & (F.col("plain_a") != F.col("plain_b"))).select("a", "b", share.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def near_duplicates(nodes: DataFrame, **options: float) -> DataFrame:
+def near_duplicates(nodes: DataFrame) -> DataFrame:
     """``(id_a, id_b)``: pairs of node ids whose claims are similar enough, the smaller id first."""
     members, classes = claim_classes(nodes)
-    pairs = verified(candidates(classes, **options), classes)
+    pairs = verified(candidates(classes), classes)
     named = pairs.join(members.select(F.col("cid").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("cid").alias("b"), F.col("id").alias("y")), "b")
     return named.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def near_duplicate_groups(nodes: DataFrame, **options: float) -> DataFrame:
+def near_duplicate_groups(nodes: DataFrame) -> DataFrame:
     """``(id, group_id, n_links)``: each node with a similar claim, its group (connected by links), and the number of classes its claim is linked with.
 
     Classes are grouped; copies only follow their class, so a group of a million copies costs one row each.
     """
     members, classes = claim_classes(nodes)
-    pairs = staged(verified(candidates(classes, **options), classes).select("a", "b"), "near-pairs")
+    pairs = staged(verified(candidates(classes), classes).select("a", "b"), "near-pairs")
     groups = components(pairs, "a", "b")
     both = pairs.union(pairs.select("b", "a"))
     links = both.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))

@@ -1,6 +1,7 @@
+import unicodedata
 from collections import Counter
 
-from claimloom.llm.lookalike import Normaliser, bigrams_of, lookalike_copies, one_form
+from claimloom.llm.lookalike import Normaliser, bigrams_of, compat_table, lattice, lookalike_copies, one_form
 
 
 def norm():
@@ -49,3 +50,18 @@ def test_copies(make_nodes):
     assert lookalike_copies(n.limit(0)).count() == 0
     forms = {r.id: r.form for r in one_form(n).collect()}
     assert forms["b"] == forms["a"] == forms["c"] == "The filter of the orchard" and forms["e"] is None and forms["g"] == ""
+
+
+def test_every_letter_of_the_lattice_survives_the_map():
+    for letter, options in lattice().items():
+        assert unicodedata.normalize("NFC", letter.translate(compat_table())) == letter
+        assert norm().text(f"fi{letter}d") == norm().text(f"fi{options['latin']}d")
+
+
+def test_look_alike_tokens_follow_their_neighbours():
+    n = norm()
+    assert n.text("СТРОК коров у реки").startswith("СТРОК") and n.text("CTPOK коров у реки") == n.text("СТРОК коров у реки")
+    assert n.text("акт HM-5TX и корм") == n.text("акт НМ-5ТХ и корм") and "HM-5TX" in n.text("акт НМ-5ТХ и корм")
+    assert n.text("scope of а filter") == "scope of a filter" and n.lines("a:  1 \r\n\n b: ②") == "a: 1\nb: ②"
+    long = "корм " + "а о е " * 100_000
+    assert n.text(long) == long.strip()
