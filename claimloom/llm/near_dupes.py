@@ -217,8 +217,9 @@ def candidates(classes: DataFrame) -> DataFrame:
             cid = batch.column("cid").to_numpy()
             starts = np.cumsum(sizes) - sizes
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            bit = np.uint64(1) << (_mix(flat.view(np.uint64), 2) >> np.uint64(58))
-            bits = np.bitwise_or.reduceat(bit, starts).view(np.int64)
+            bit = _mix(flat.view(np.uint64), 2) >> np.uint64(57)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            low, high = (np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == half, one, np.uint64(0)), starts).view(np.int64) for half in (0, 1))
             left = np.ones(len(sizes), bool)
             places, who = [], []
             for level, c in enumerate(caps):
@@ -238,13 +239,13 @@ def candidates(classes: DataFrame) -> DataFrame:
                 left = left & ~done
             if places:
                 place, at = np.concatenate(places), np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(cid[at]), pa.array(sizes[at].astype(np.int32)), pa.array(bits[at])], names=["place", "cid", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(cid[at]), pa.array(sizes[at].astype(np.int32)), pa.array(low[at]), pa.array(high[at])], names=["place", "cid", "n", "low", "high"])
 
-    nodes = map_batches(classes.select("cid", "words"), label, "place bigint, cid bigint, n int, bits bigint")
+    nodes = map_batches(classes.select("cid", "words"), label, "place bigint, cid bigint, n int, low bigint, high bigint")
     other = nodes.select("place", *[F.col(c).alias(f"{c}_o") for c in nodes.columns if c != "place"])
     # What sizes and bitmaps already show: the smaller set is too small, or too many words differ.
     both = F.col("n") + F.col("n_o")
-    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_o")))
+    differ = F.bit_count(F.col("low").bitwiseXOR(F.col("low_o"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_o")))
     near = (F.least("n", "n_o") + 1e-6 >= F.greatest("n", "n_o") * THRESHOLD) & (differ * (1 + THRESHOLD) <= both * (1 - THRESHOLD) + 1e-6)
     return nodes.join(other, "place").where((F.col("cid") < F.col("cid_o")) & near).select(F.col("cid").alias("a"), F.col("cid_o").alias("b")).distinct()
 
