@@ -1,22 +1,3 @@
-"""Template residue and error-page text (problem 9).
-
-Lines are masked (numbers, addresses, dates), hashed and counted over all documents and
-hosts.  A line that recurs on several hosts is classified by phrase rules on its words; what
-they don't know as a message or filler is the furniture of sites (menus, notices, footers).
-Other lines go through the same rules if they are short.  The literal lines below are seeds:
-they are found exactly, in wrong charsets, and within lines that say a little more.  What is
-left of a page is its body.
-A page is residue when
-  * a placeholder stands in it where a value should be (not where a sentence explains it),
-  * filler makes up a large part of its body, or
-  * its body is an error message or a demand for scripts.
-Known messages are also recognised as they look after a wrong charset, by decoding their
-bytes with the charsets that pages are wrongly declared in.
-
-Null and empty texts are no cases.  A repeated document id comes out once; extra columns
-are ignored; long pages are read whole.
-"""
-
 from __future__ import annotations
 
 import re
@@ -28,96 +9,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.runtime import map_batches
+from claimloom.runtime import map_batches, staged
 
-#: A line recurs if it is on two hosts or more and makes up this share of all lines, at least MIN_RECUR lines.
-RECUR_SHARE, MIN_RECUR = 1e-5, 3
+#: documents, on two hosts or more, from which on a line recurs
+RECURS = 3
 FILLER_SHARE, MESSAGE_SHARE = 0.15, 0.5
 
-# Messages as whole masked lines.
-SCRIPTS = """
-this site requires scripts and cookies. checking your browser...
-javascript is disabled in your browser. turn it on and reload.
-you need to enable javascript to run this app.
-your browser does not support scripting, which is required here.
-please enable javascript to view this page.
-please turn on javascript to continue.
-bitte aktivieren sie javascript, um diese seite zu sehen.
-veuillez activer javascript pour afficher cette page.
-active javascript en su navegador para continuar.
-для работы сайта включите javascript в браузере.
-请启用 javascript 后继续。
-このページを表示するには javascript を有効にしてください。
-"""
-ERRORS = """
-internal server error
-something broke on our side. try again in a few minutes.
-you don't have permission to open this address.
-access denied
-your request was blocked. error code 0.
-page not found
-the page you asked for has moved or never existed.
-sorry, this listing is no longer available.
-oops! we can't find that.
-check the address or go back to the front page.
-service temporarily unavailable
-the site is down for maintenance.
-too many requests
-slow down and reload later.
-error establishing a database connection
-interner serverfehler
-bitte später erneut versuchen.
-die gesuchte seite gibt es hier nicht mehr.
-seite nicht gefunden
-un problème est survenu sur le serveur.
-erreur 0
-page introuvable
-l'adresse demandée n'existe plus.
-acceso denegado
-no tiene permiso para ver esta página.
-página no encontrada
-la dirección pedida ya no existe.
-страница не найдена
-возможно, она удалена или адрес набран с ошибкой.
-ошибка 0
-сервер временно недоступен.
-ページが見つかりません
-削除されたか、移動した可能性があります。
-页面不存在
-您访问的页面已被删除。
-服务器内部错误
-请稍后再试。
-"""
-FILLERS = """
-[ no description ]
-test test test 0
-sample text for this block.
-heading goes here
-todo: write intro
-blah blah blah blah.
-your text goes here.
-placeholder copy, replace before launch.
-add a paragraph about your company.
-content under construction.
-asdf asdf qwer asdf
-click edit to change this text.
-description coming soon.
-xxx xxx xxx
-title of the page
-beschreibung folgt.
-hier steht ihr text.
-beispieltext.
-texto de ejemplo.
-escriba aquí su texto.
-texte à venir.
-votre texte ici.
-текст скоро появится.
-здесь будет ваш текст.
-内容待补充。
-这里是示例文字。
-準備中です。
-ここに文章が入ります。
-"""
+# Words of the common filler text.
 LOREM = frozenset(
     """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim
     veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse
@@ -133,19 +31,19 @@ RULES = tuple(
         ("script", _SCRIPT, r"\b(?:enabled?|enabling|activated?|allow(?:ed)?|permit|turn(?:ed)?|switch(?:ed)?|disabled?|blocked|off|requires?d?|needs?(?:ed)?|supports?(?:ed)?|must|without|missing|unavailable)\b|aktivier|einschalt|ausgeschaltet|benötig|erforder|\bactiv|\bhabilit|\bdesactiv|désactiv|requier|requiert|nécess|necesi|abilit|attiva|\bativ|włącz|inschakel|включ|отключ|требу|необходим|разреш|启用|开启|打开|啟用|禁用|需要|有効|無効|必要|オン|활성화|필요|تفعيل|تمكين"),
         ("error", _NOUN, _GONE),
         ("error", r"\b(?:can't|cannot|could not|couldn't|unable to|failed to)\b (?:\w+ )?\b(?:find|locate|load|open|display|reach|connect|establish|process|complete|serve|show)\b"),
-        ("error", r"\b(?:something|anything)\b.{0,12}\b(?:went wrong|broke|failed)\b|\b(?:an?|unexpected|unknown|internal|fatal|server|database|application|runtime)\b.{0,20}\b(?:error|failure|exception|fault)\b(?:.{0,12}\b(?:occurred|happened|encountered)\b|\W*$)|\berror code\b|\berror 0\b"),
+        ("error", r"\b(?:something|anything)\b.{0,12}\b(?:went wrong|broke|failed)\b|\b(?:an?|unexpected|unknown|internal|fatal|server|database|application|runtime)\b.{0,20}\b(?:error|failure|exception|fault)\b(?:.{0,12}\b(?:occurred|happened|encountered)\b|\W*$)|\berror code\b|\berror 0\b|\berror (?:establishing|connecting|loading|opening|processing|retrieving|reading)\b"),
         ("error", r"\b(?:access|permission|request|entry)\b.{0,15}\b(?:denied|forbidden|refused|blocked|rejected|restricted)\b|\b(?:not|n't)\b.{0,20}\b(?:allowed|authori[sz]ed|permitted|permission|access)\b"),
         ("error", r"\b(?:server|service|site|website|database|system|host|gateway|connection|we)\b.{0,30}\b(?:unavailable|down|offline|maintenance|overloaded|timed out|unreachable|not responding|busy)\b"),
         ("error", r"\btoo many (?:requests|attempts|connections)\b|\brate limit|\b(?:try|retry|reload|come back|check back)\b.{0,20}\b(?:later|again|soon|minutes?|moment)\b"),
         ("error", r"(?:seite|adresse|datei|dokument|inhalt|artikel|angebot)\b.{0,40}(?:nicht (?:gefunden|mehr|verfügbar|vorhanden)|existiert|gelöscht|entfernt|gibt es)|konnten? .{0,40}nicht .{0,20}(?:gefunden|geladen|gefunden werden|finden|öffnen)|zugriff .{0,12}(?:verweigert|gesperrt)|keine berechtigung|(?:server|interner |datenbank)-?fehler|fehler .{0,15}aufgetreten|etwas ist schief|später .{0,15}(?:erneut|nochmals|noch einmal|wieder)|wartungsarbeiten|(?:nicht erreichbar|nicht verfügbar)\W*$"),
-        ("error", r"\bintrouvable|n[’']existe (?:plus|pas)|n[’']a(?:vons)? pas (?:été |pu )?(?:être )?trouv|n[’']est (?:plus|pas) (?:disponible|accessible)|accès (?:refusé|interdit)|pas (?:l[’']autorisation|autorisé)|erreur (?:interne|du serveur|est survenue|s[’']est produite)|(?:problème|erreur).{0,12}(?:survenue?|produite?)|(?:réessayer|réessayez|revenez).{0,20}(?:plus tard|minutes|instants)|(?:indisponible|en maintenance)\b"),
+        ("error", r"\bintrouvable|n[’']existe (?:plus|pas)|n[’']a(?:vons)? pas (?:été |pu )?(?:être )?trouv|n[’']est (?:plus|pas) (?:disponible|accessible)|accès (?:refusé|interdit)|pas (?:l[’']autorisation|autorisé)|erreur (?:interne|du serveur|est survenue|s[’']est produite)|(?:probl.me|erreur).{0,12}(?:survenue?|produite?)|(?:réessayer|réessayez|revenez).{0,20}(?:plus tard|minutes|instants)|(?:indisponible|en maintenance)\b"),
         ("error", r"\bno (?:se )?(?:ha(?:n)? )?(?:podido |pudo |puede )?(?:encontr|existe\b|disponible|está disponible)|ya no existe|acceso (?:denegado|prohibido)|no tiene (?:permiso|acceso)|error (?:interno|del servidor)|(?:ocurrido|producido) un (?:error|problema)|algo salió mal|(?:inténtelo|intente|vuelva).{0,25}(?:más tarde|nuevo|minutos)|en mantenimiento\b"),
         ("error", r"\bnon (?:è stat[ao] )?(?:trovat[ao]|esiste|disponibile)|accesso negato|errore (?:interno|del server)|riprova|não (?:foi )?(?:encontrad[ao]|existe|disponível)|acesso negado|erro (?:interno|do servidor|\d)|tente novamente|niet gevonden|bestaat niet|toegang geweigerd|probeer het later|nie znaleziono|nie istnieje|odmowa dostępu|spróbuj ponownie"),
         ("error", r"не найден|не существует|не удалось|(?:страниц|адрес|файл|документ).{0,30}(?:удал[её]н|перемещ|недоступ)|доступ.{0,40}(?:запрещ|закрыт|ограничен)|нет (?:прав|доступа|разрешения)|(?:внутренняя )?ошибка (?:сервера|базы|соединения|подключения)|(?:произошла|возникла) ошибка|(?:временно |сейчас )(?:не ?доступ|не работает)|технически[ех] работ|(?:попробуйте|повторите|зайдите).{0,25}(?:позже|позднее|ещё раз|снова)"),
         ("error", r"(?:页面|網頁|网页|地址|文件|内容|链接|頁面).{0,12}(?:不存在|删除|刪除|移动|失效|下架)|找不到|未找到|无法(?:找到|打开|访问|显示|连接|加载)|無法(?:找到|開啟|存取)|(?:拒绝|禁止|被拒)访问|访问.{0,4}(?:被拒|受限)|(?:没有|無|无)(?:权限|權限)|(?:服务器|伺服器|系统|数据库|内部).{0,4}(?:错误|錯誤|异常|繁忙|故障)|(?:稍后|稍候|稍後|以后)(?:再|重)试?|暂时(?:不可用|无法)|(?:正在|系统)维护|出错了"),
-        ("error", r"見つかりません|見つかりませんでした|(?:ページ|ファイル|アドレス|url).{0,15}(?:存在しません|削除|移動|ありません)|アクセス.{0,6}(?:拒否|禁止|できません|権限)|権限がありません|(?:サーバー?|内部|システム|データベース).{0,6}(?:エラー|障害)|エラーが発生|(?:しばらく|後ほど|後で|時間を).{0,15}(?:お試し|試して|アクセス|再度)|(?:利用|表示|接続)できません|メンテナンス中|찾을 수 없|존재하지 않|접근.{0,6}거부|오류가 발생|다시 시도|غير موجود|تم رفض|حدث خطأ"),
+        ("error", r"見つかりません|(?:削除|移動)(?:された|した).{0,3}(?:か|可能性)|(?:ページ|ファイル|アドレス|url).{0,15}(?:存在しません|削除|移動|ありません)|アクセス.{0,6}(?:拒否|禁止|できません|権限)|権限がありません|(?:サーバー?|内部|システム|データベース).{0,6}(?:エラー|障害)|エラーが発生|(?:しばらく|後ほど|後で|時間を).{0,15}(?:お試し|試して|アクセス|再度)|(?:利用|表示|接続)できません|メンテナンス中|찾을 수 없|존재하지 않|접근.{0,6}거부|오류가 발생|다시 시도|غير موجود|تم رفض|حدث خطأ"),
         ("filler", r"\b(?:your|sample|example|placeholder|dummy|filler|test|demo|default|some)\b (?:\w+ )?\b(?:text|copy|content|title|heading|headline|paragraph|description|caption|intro|subtitle|message)\b.{0,25}(?:\b(?:here|goes|below|soon|block|section|replace|launch|follows)\b|\W*$)|\b(?:text|copy|content|title|heading|headline|paragraph|description|caption|intro|subtitle)\b (?:goes|comes|will (?:go|appear|be|follow)|to (?:come|follow|be)|coming)\b"),
-        ("filler", r"\bunder construction\b|\bcoming soon\b|^\W*(?:todo|tbd|tba|fixme)\b\W*(?::|$)|\bto be (?:added|written|filled|completed|announced|determined)\b|\bclick (?:here )?to (?:edit|add|change)\b|\b(?:edit|change|replace) this (?:text|copy|content|paragraph|block|heading|title)\b|\b(?:add|insert|write|type|enter|put|place) (?:a |an |your |some |the )?(?:\w+ )?(?:text|copy|content|title|heading|paragraph|description|intro)\b"),
+        ("filler", r"^\W*(?:no (?:description|text|content|title|caption|image|summary)\W*)+$|\bunder construction\b|\bcoming soon\b|^\W*(?:todo|tbd|tba|fixme)\b\W*(?::|$)|\bto be (?:added|written|filled|completed|announced|determined)\b|\bclick (?:here )?to (?:edit|add|change)\b|\b(?:edit|change|replace) this (?:text|copy|content|paragraph|block|heading|title)\b|\b(?:add|insert|write|type|enter|put|place) (?:a |an |your |some |the )?(?:\w+ )?(?:text|copy|content|title|heading|paragraph|description|intro)\b"),
         ("filler", r"(?:hier|beispiel|muster|platzhalter|blind|dummy)[ -]?(?:steht |kommt |folgt )?(?:ihr |der |dein )?(?:text|titel|inhalt)|(?:beschreibung|text|inhalt|titel) (?:folgt|kommt)|text(?:o|e) (?:de|d[’'])\s?(?:ejemplo|exemple|relleno|prueba|remplissage)|(?:escriba|escribe|introduzca|inserte) (?:aquí |su |tu )|(?:votre|saisissez|écrivez|insérez).{0,12}(?:texte|titre|contenu).{0,8}(?:ici|$)|(?:texte|contenu|description|descripción|contenido) (?:à venir|à compléter|próximamente|pendiente)|en (?:construcción|construction)\b"),
         ("filler", r"(?:здесь|тут) (?:будет|появится|должен).{0,20}(?:текст|описан|заголов|контент)|(?:текст|описание|контент|заголовок).{0,12}(?:скоро|появится|будет добавлен|заглушк)|(?:пример|образец) текста|в разработке\W*$|(?:示例|占位|测试|样例|範例)(?:文字|文本|内容)|(?:内容|描述|介绍|简介)(?:待|即将|稍后)|(?:敬请期待|建设中|準備中|工事中|近日公開)|(?:ここ|こちら)に.{0,10}(?:文章|テキスト|本文|タイトル).{0,4}(?:入|書|記)|(?:サンプル|ダミー)(?:テキスト|文章)"),
     )
@@ -185,47 +83,13 @@ def line_hash(key: str) -> int:
     return xxhash.xxh3_64_intdigest(key) - (1 << 63)
 
 
-@lru_cache(maxsize=1)
-def known_messages() -> dict[str, str]:
-    """Masked line -> kind, with the forms that known lines take under wrong charsets."""
-    declared = ("utf-8", "cp1252", "latin-1", "cp1251", "koi8-r", "cp1250", "iso8859-2", "iso8859-5", "cp866", "gbk", "gb18030", "big5", "shift_jis", "euc-jp", "ascii")
-    sent = ("utf-8", "cp1252", "cp1251", "koi8-r", "gbk", "big5", "shift_jis", "euc-jp", "cp1250", "iso8859-2")
-    out: dict[str, str] = {}
-    for kind, lines in (("script", SCRIPTS), ("error", ERRORS), ("filler", FILLERS)):
-        for line in lines.strip().split("\n"):
-            for form in (line, line[:1].upper() + line[1:]):
-                forms = {form}
-                if not form.isascii():
-                    form = form.replace("javascript", "JavaScript")
-                    forms.add(form)
-                    for a in sent:
-                        try:
-                            raw = form.encode(a)
-                        except UnicodeEncodeError:
-                            continue
-                        forms.update(raw.decode(b, "replace") for b in declared if b != a)
-                    forms.update(form.encode(b, "replace").decode(b, "replace") for b in ("ascii", "latin-1", "cp1251", "cp1252"))
-                for f in forms:
-                    if f.strip("?� .,!") and len(f) > 3:
-                        out.setdefault(masked(f), kind)
-    return out
-
-
 def line_kind(key: str) -> str | None:
-    """Kind of a masked line that is a message as a whole, also when repeated within the line."""
-    kinds = known_messages()
-    if key in kinds:
-        return kinds[key]
+    """Kind of a masked line by its form alone: a status line, or the common filler text."""
     if ERROR_LINE.fullmatch(key):
         return "error"
     words = key.split(" ")
     if len(words) >= 8 and sum(w.strip(".,;:!?") in LOREM for w in words) >= 0.6 * len(words):
         return "filler"
-    for n in (2, 3, 4, 5):
-        if len(key) >= 4 * n and len(words) % n == 0:
-            part = " ".join(words[: len(words) // n])
-            if part in kinds and key == " ".join([part] * n):
-                return kinds[part]
     return None
 
 
@@ -248,13 +112,6 @@ FOOTER = re.compile(r"\W{0,4}.{0,6}?[©?�\W]?\s?0 \S{1,60}")
 CJK = re.compile("[぀-鿿]")
 
 
-def _furniture(key: str, recurring: set[int]) -> bool:
-    if not key or line_hash(key) in recurring or (len(key) < 70 and FOOTER.fullmatch(key)):
-        return True
-    parts = [p.strip() for p in re.split(r"[|>]", key)]
-    return len(parts) > 1 and sum(line_hash(p) in recurring for p in parts) >= 0.5 * len(parts)
-
-
 def _label(key: str) -> bool:
     """Titles and links: a few words without an end mark."""
     if key[-1] in ".!?…。！？:;,":
@@ -268,16 +125,9 @@ def _repeats(key: str) -> bool:
     return len(words) >= 3 and len(set(words)) <= max(1, len(words) // 3) and words[0].isalpha()
 
 
-@lru_cache(maxsize=1)
-def _seeds() -> tuple[tuple[str, str], ...]:
-    """The literal lines without end marks, that a longer line can hold."""
-    own = {x.strip(" .!。…"): kind for kind, lines in (("script", SCRIPTS), ("error", ERRORS), ("filler", FILLERS)) for x in lines.strip().split("\n")}
-    return tuple((x, kind) for x, kind in own.items() if len(x) >= (4 if CJK.search(x) else 10))
-
-
 @lru_cache(maxsize=1 << 16)
 def rule_kind(key: str, recurs: bool) -> str | None:
-    """Kind of a masked line by what its words say: phrase rules, or a known line with a few words more.
+    """Kind of a masked line by what its words say.
 
     A line that recurs on several hosts is told so at greater length; a lone one must be short and not speak about messages.
     """
@@ -286,81 +136,130 @@ def rule_kind(key: str, recurs: bool) -> str | None:
     for kind, parts in RULES:
         if all(p.search(key) for p in parts):
             return kind
-    for x, kind in _seeds():
-        if x in key and len(key) <= 2.5 * len(x) and (CJK.search(x) or re.search(rf"(?<!\w){re.escape(x)}(?!\w)", key)):
-            return kind
     return "filler" if _repeats(key) else None
 
 
-def page_kind(text: str, recurring: set[int]) -> tuple[str, float] | None:
-    """(kind, share of the body) if the page is residue."""
-    if has_placeholder(text):
-        return "placeholder", 1.0
-    sums = {"filler": 0, "message": 0, "body": 0}
+#: What a line counts as.
+BODY, FILLER, MESSAGE, NOTHING = range(4)
+CHARSETS = ("utf-8", "cp1251", "koi8-r", "gb18030", "euc-jp", "shift_jis", "big5")
+CYRILLIC = re.compile("[Ѐ-ӿ]+")
+WIDE_LATIN = re.compile("[À-ÿ]")
+OTHER_LETTERS = re.compile("[Ѐ-ӿ぀-ヿ㐀-鿿가-힣]")
+
+
+def repaired(text: str, declared: str | None) -> str:
+    """The text in the charset that its bytes show, if they were read in the wrong single-byte one."""
+    if text.isascii() or not declared or OTHER_LETTERS.search(text):
+        return text
+    letters = sum(map(str.isalpha, text))
+    if 3 * len(WIDE_LATIN.findall(text)) < letters:
+        return text
+    try:
+        raw = text.replace("\ufffd", "?").encode(declared.strip().strip("\"'"), "replace")
+    except LookupError:
+        return text
+    for sent in CHARSETS:
+        read = raw.decode(sent, "replace")
+        # Two-byte text read as Cyrillic, or one Cyrillic set as the other, has capitals inside words.
+        words = CYRILLIC.findall(read)
+        cased = sum(len(w) for w in words if w[1:] == w[1:].lower())
+        if 10 * read.count("\ufffd") <= len(read) and 5 * cased >= 4 * sum(map(len, words)) and 2 * len(OTHER_LETTERS.findall(read)) >= sum(map(str.isalpha, read)):
+            return read
+    return text
+
+
+@lru_cache(maxsize=1 << 16)
+def readings(key: str) -> tuple[int, int]:
+    """What a masked line counts as if it is alone, and if it recurs."""
+    of = {"filler": FILLER, "script": MESSAGE, "error": MESSAGE}
+    form = line_kind(key)
+    if form:
+        return of[form], of[form]
+    alone, wide = rule_kind(key, False), rule_kind(key, True)
+    if alone:
+        return of[alone], of[wide or alone]
+    left = NOTHING if _label(key) or (len(key) < 70 and FOOTER.fullmatch(key)) else BODY
+    return left, of[wide] if wide else NOTHING
+
+
+def page_lines(text: str) -> list[str]:
+    """Masked lines; menus and paths come apart at their separators."""
+    out = []
     for line in text.split("\n"):
         key = masked(line)
-        if not key:
-            continue
-        kind = line_kind(key) or rule_kind(key, line_hash(key) in recurring)
-        if kind:
-            sums["filler" if kind == "filler" else "message"] += len(key)
-        elif not _furniture(key, recurring) and not _label(key):
-            sums["body"] += len(key)
-    total = sum(sums.values())
-    if sums["message"] and sums["message"] >= MESSAGE_SHARE * total:
-        return "message", sums["message"] / total
-    if sums["filler"] and sums["filler"] >= FILLER_SHARE * total:
-        return "filler", sums["filler"] / total
+        whole = readings(key)[0] if key else NOTHING
+        out += [x for p in re.split(r"[|>]", key) if (x := p.strip())] if whole in (BODY, NOTHING) and ("|" in key or ">" in key) else [key] if key else []
+    return out
+
+
+def judge(filler: float, message: float, body: float) -> tuple[str, float] | None:
+    total = filler + message + body
+    if message and message >= MESSAGE_SHARE * total:
+        return "message", message / total
+    if filler and filler >= FILLER_SHARE * total:
+        return "filler", filler / total
     return None
 
 
-def line_counts(documents: DataFrame) -> DataFrame:
-    """``(line, n, host_a, host_b)``: documents with each masked line, and the smallest and largest hash of their hosts."""
+def page_kind(text: str, recurring: set[int], declared: str | None = None) -> tuple[str, float] | None:
+    """(kind, share of the body) if one page is residue, by the hashes of recurring lines; what `residue` does, for tests and single pages."""
+    text = repaired(text, declared)
+    if has_placeholder(text):
+        return "placeholder", 1.0
+    sums = [0, 0, 0, 0]
+    for key in page_lines(text):
+        sums[readings(key)[line_hash(key) in recurring]] += len(key)
+    return judge(sums[FILLER], sums[MESSAGE], sums[BODY])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[int, list[int]] = {}
-            for text, host in zip(batch.column("text").to_pylist(), batch.column("host").to_pylist(), strict=True):
-                h = line_hash(host or "")
-                for key in {masked(x) for x in text.split("\n")}:
-                    parts = {key, *(p.strip() for p in re.split(r"[|>]", key))} if "|" in key or ">" in key else (key,)
-                    for p in parts:
-                        x = line_hash(p)
-                        e = found.get(x)
-                        if e is None:
-                            found[x] = [1, h, h]
-                        else:
-                            e[0] += 1
-                            e[1] = min(e[1], h)
-                            e[2] = max(e[2], h)
-            n, a, b = zip(*found.values(), strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["line", "n", "host_a", "host_b"])
-
-    rows = documents.where("text is not null and text <> ''").select("text", "host")
-    return map_batches(rows, count, "line bigint, n bigint, host_a bigint, host_b bigint").groupBy("line").agg(F.sum("n").alias("n"), F.min("host_a").alias("host_a"), F.max("host_b").alias("host_b"))
-
-
-def recurring_lines(documents: DataFrame) -> set[int]:
-    """Hashes of lines that recur on several hosts; at most 1 / RECUR_SHARE of them, by the share each must have."""
-    counts = line_counts(documents).persist()
-    try:
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        kept = counts.where((F.col("n") >= max(MIN_RECUR, RECUR_SHARE * total)) & (F.col("host_a") != F.col("host_b"))).select("line").toArrow()
-    finally:
-        counts.unpersist()
-    return set(kept.column("line").to_pylist())
 
+_PAGE = "doc_id bigint, host bigint, line bigint, chars bigint, alone tinyint, wide tinyint, filler bigint, message bigint, placeholder boolean"
 
-def residue(documents: DataFrame) -> DataFrame:
-    """``(doc_id, kind, share)`` of the documents to exclude; kind is placeholder, filler or message."""
-    known = documents.sparkSession.sparkContext.broadcast(recurring_lines(documents))
+
+def read_pages(documents: DataFrame) -> DataFrame:
+    """One row for each page with the sums that don't depend on other pages, and one for each line that counts differently if it recurs."""
+    has = {c.lower() for c in documents.columns}
+    text = documents.where("text is not null and text <> ''").select("doc_id", "text", *[F.col(c) if c in has else F.lit(None).cast("string").alias(c) for c in ("host", "declared_charset")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recurring = known.value
         for batch in batches:
-            hits = [(d, *k) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if (k := page_kind(t, recurring))]
-            ids, kinds, shares = zip(*hits, strict=True) if hits else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(shares, pa.float64())], names=["doc_id", "kind", "share"])
+            out: list[tuple] = []
+            for d, t, host, charset in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "host", "declared_charset")), strict=True):
+                t, h = repaired(t, charset), line_hash(host or "")
+                sums, open_ = [0, 0, 0, 0], {}
+                if placeholder := has_placeholder(t):
+                    out.append((d, h, None, 0, 0, 0, 0, 0, placeholder))
+                    continue
+                for key in page_lines(t):
+                    alone, wide = readings(key)
+                    if alone == wide:
+                        sums[alone] += len(key)
+                    else:
+                        x = line_hash(key)
+                        open_[x] = (alone, wide, len(key) + (open_[x][2] if x in open_ else 0))
+                out.append((d, h, None, 0, 0, 0, sums[FILLER], sums[MESSAGE], False))
+                out += [(d, h, x, n, alone, wide, 0, 0, False) for x, (alone, wide, n) in open_.items()]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.int8(), pa.int64(), pa.int64(), pa.bool_())
+            columns = zip(*out, strict=True) if out else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in _PAGE.split(", ")])
+
+    return map_batches(text, run, _PAGE)
+
 
-    rows = documents.where("text is not null and text <> ''").select("doc_id", "text")
-    return map_batches(rows, run, "doc_id bigint, kind string, share double").dropDuplicates(["doc_id"])
+def residue(documents: DataFrame) -> DataFrame:
+    """``(doc_id, kind, share)`` of the documents to exclude; kind is placeholder, filler or message."""
+    read = staged(read_pages(documents), "page-lines")
+    lines = read.where("line is not null")
+    recurring = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("host").alias("a"), F.max("host").alias("b")).where((F.col("n") >= RECURS) & (F.col("a") != F.col("b"))).select("line", F.lit(True).alias("recurs"))
+    counted = lines.join(recurring, "line", "left").select("doc_id", "chars", F.when(F.col("recurs"), F.col("wide")).otherwise(F.col("alone")).alias("kind"))
+    part = lambda kind: F.when(F.col("kind") == kind, F.col("chars")).otherwise(0)
+    rows = counted.select("doc_id", part(FILLER).alias("filler"), part(MESSAGE).alias("message"), part(BODY).alias("body"), F.lit(False).alias("placeholder"))
+    fixed = read.where("line is null").select("doc_id", "filler", "message", F.lit(0).cast("bigint").alias("body"), "placeholder")
+    sums = rows.unionByName(fixed).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("filler", "message", "body")], F.max("placeholder").alias("placeholder"))
+    total = F.col("filler") + F.col("message") + F.col("body")
+    kind = (
+        F.when(F.col("placeholder"), "placeholder")
+        .when((F.col("message") > 0) & (F.col("message") >= MESSAGE_SHARE * total), "message")
+        .when((F.col("filler") > 0) & (F.col("filler") >= FILLER_SHARE * total), "filler")
+    )
+    share = F.when(F.col("kind") == "placeholder", 1.0).when(F.col("kind") == "message", F.col("message") / total).otherwise(F.col("filler") / total)
+    return sums.withColumn("kind", kind).where("kind is not null").select("doc_id", "kind", share.alias("share"))
