@@ -6,9 +6,15 @@ without replacement: every document draws the key -ln(u) / weight, and documents
 in the order of keys until the budget is full.
 
 The order is never sorted in one task, though a source may hold most documents: keys fall
-into buckets of equal probability, bucket sums (a table bounded by sources x BUCKETS) give
-each bucket the tokens before it, and only the bucket in which the budget ends is sorted,
-by source.  The document that crosses the budget is taken if that leaves the sum nearer.
+into buckets, bucket sums (a table bounded by rows of targets x BUCKETS) give each bucket
+the tokens before it, and only the bucket in which the budget ends matters.  It is divided
+into buckets again, between its smallest and its largest key, until it holds EDGE documents
+at most, whatever the weights are; only these are sorted.  The document that crosses the
+budget is taken if that leaves the sum nearer.
+
+The vocabulary file is read by the driver and broadcast (its size is fixed).  Long texts go
+to the tokenizer in pieces that end where its split pattern always ends a piece, before
+white space, so the number of tokens is that of the whole text.
 
 u comes from a hash of document id, source and seed, so a run repeats exactly.  Sources
 compare without letter case and outer blanks; documents without source, and sources
@@ -21,9 +27,12 @@ repeated document ids count once; an empty table gives empty mixes.
 from __future__ import annotations
 
 import base64
+import math
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,8 +41,11 @@ from pyspark.sql import functions as F
 from claimloom.runtime import map_batches, staged
 
 BUCKETS = 1024
-#: parts of a document that go to the tokenizer at once
+#: documents of one source that are sorted in one task at most
+EDGE = 100_000
+#: characters from which on a text is cut before the next white space
 PIECE = 1 << 16
+CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
 def default_tokenizer() -> str:
@@ -41,16 +53,30 @@ def default_tokenizer() -> str:
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
-    """Byte-level BPE from a file of ranks, one "base64 rank" a line, with the public split pattern of that vocabulary."""
+def encoding_of(vocabulary: bytes):
+    """Byte-level BPE from the content of a file of ranks, one "base64 rank" a line, with the public split pattern of that vocabulary."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoding(path: str):
+    return encoding_of(Path(path).read_bytes())
+
+
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    lo = 0
+    while len(text) - lo > size:
+        m = CUT.search(text, lo + size)
+        if not m:
+            break
+        yield text[lo : m.start()]
+        lo = m.start()
+    yield text[lo:]
+
+
 def source_key(c: Column) -> Column:
     return F.nullif(F.lower(F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))), F.lit(""))
 
@@ -64,12 +90,12 @@ def quality_weight(documents: DataFrame) -> Column:
 
 def token_sizes(documents: DataFrame, tokenizer: str | None = None, weight: Column | None = None) -> DataFrame:
     """``(doc_id, source, tokens, weight)`` as a written table, so each text is tokenized once."""
-    path = tokenizer or default_tokenizer()
+    vocabulary = documents.sparkSession.sparkContext.broadcast(Path(tokenizer or default_tokenizer()).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoding_of(vocabulary.value).encode_ordinary
         for batch in batches:
-            sizes = [sum(len(encode(t[i : i + PIECE])) for i in range(0, len(t), PIECE)) if t else 0 for t in batch.column("text").to_pylist()]
+            sizes = [sum(len(encode(x)) for x in pieces(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield batch.drop_columns(["text"]).append_column("tokens", pa.array(sizes, pa.int64()))
 
     w = quality_weight(documents) if weight is None else weight
@@ -84,23 +110,45 @@ def _key(seed: int) -> Column:
     return -F.ln(u) / F.col("weight")
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+def _cuts(keyed: DataFrame, plan: DataFrame, edge: int) -> list[tuple]:
+    """``(mix, source, epochs, rest, lo, hi, start)`` for each mix and source: the budget ends between the keys lo and hi, with start tokens before lo.
+
+    One row a row of targets; null keys where the whole source fits.
+    """
+    spark = keyed.sparkSession
+    schema = "mix string, source string, epochs int, rest double, lo double, hi double, start bigint"
+    open_ = [(r.mix, r.source, r.epochs, r.rest, 0.0, math.inf, 0) for r in plan.collect()]
+    done = []
+    while open_:
+        ranges = F.broadcast(spark.createDataFrame(open_, schema))
+        rows = keyed.join(ranges, "source").where("k >= lo and k <= hi")
+        # Of equal probability at first for weights about 1, of equal width inside a bucket.
+        part = F.when(F.col("hi") == math.inf, 1 - F.exp(-F.col("k"))).otherwise((F.col("k") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
+        bucket = F.least(F.floor(F.coalesce(part, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))
+        sums = rows.groupBy("mix", "source", "epochs", "rest", "start", bucket.alias("b")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min("k").alias("a"), F.max("k").alias("z"))
+        before = F.col("start") + F.coalesce(F.sum("t").over(Window.partitionBy("mix", "source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        last = sums.withColumn("before", before).where("before <= rest").groupBy("mix", "source", "epochs", "rest").agg(F.max_by(F.struct("a", "z", "before", "n"), "b").alias("c"))
+        open_now = []
+        for r in last.collect():
+            row = (r.mix, r.source, r.epochs, r.rest, r.c.a, r.c.z, r.c.before)
+            (done if r.c.n <= edge or r.c.a == r.c.z else open_now).append(row)
+        open_ = open_now
+    return done
+
+
+def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 0, edge: int = EDGE) -> DataFrame:
     """``(mix, source, doc_id, tokens, copies)``: how often each chosen document stands in each mix."""
     plan = allotment(sizes, targets).where("budget > 0 and have > 0").select("mix", "source", "epochs", "rest")
-    plan = F.broadcast(plan)  # at most one row a row of targets
-    keyed = sizes.where("source is not null and tokens > 0").withColumn("k", _key(seed)).withColumn("bucket", F.floor((1 - F.exp(-F.col("k"))) * BUCKETS).cast("int"))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
-    before = sums.select("source", "bucket", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), "t")
-    # sources x BUCKETS x mixes rows at most; for each mix and source one bucket is cut.
-    cuts = before.join(plan, "source").where("before < rest").groupBy("mix", "source", "epochs", "rest").agg(F.max(F.struct("bucket", "before")).alias("cut"))
-    wanted = plan.join(cuts.select("mix", "source", "cut"), ["mix", "source"], "left").select("mix", "source", "epochs", "rest", F.coalesce("cut.bucket", F.lit(-1)).alias("last"), F.coalesce("cut.before", F.lit(0)).alias("start"))
+    keyed = sizes.where("source is not null and tokens > 0").withColumn("k", _key(seed))
+    cuts = _cuts(keyed, plan, edge)
+    wanted = sizes.sparkSession.createDataFrame(cuts, "mix string, source string, epochs int, rest double, lo double, hi double, start bigint")
     rows = keyed.join(F.broadcast(wanted), "source")
-    edge = rows.where("bucket = last").withColumn("run", F.col("start") + F.sum("tokens").over(Window.partitionBy("mix", "source").orderBy("k", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    edge_rows = rows.where("k between lo and hi").withColumn("run", F.col("start") + F.sum("tokens").over(Window.partitionBy("mix", "source").orderBy("k", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
     # Half of the document that crosses the budget lies inside: then the sum with it is nearer.
-    edge = edge.withColumn("copies", F.col("epochs") + ((F.col("run") - F.col("tokens") / 2.0) <= F.col("rest")).cast("int"))
-    inner = rows.where("bucket <> last").withColumn("copies", F.col("epochs") + (F.col("bucket") < F.col("last")).cast("int"))
+    edge_rows = edge_rows.withColumn("copies", F.col("epochs") + ((F.col("run") - F.col("tokens") / 2.0) <= F.col("rest")).cast("int"))
+    others = rows.where("k < lo or k > hi").withColumn("copies", F.col("epochs") + (F.col("k") < F.col("lo")).cast("int"))
     cols = ["mix", "source", "doc_id", "tokens", "copies"]
-    return inner.select(*cols).unionByName(edge.select(*cols)).where("copies > 0")
+    return others.select(*cols).unionByName(edge_rows.select(*cols)).where("copies > 0")
 
 
 def allotment(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -117,9 +165,9 @@ def allotment(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.select("mix", "source", "target_share", "max_repeats", budget.alias("budget"), have.alias("have"), epochs.alias("epochs"), F.coalesce(rest, F.lit(0.0)).alias("rest"))
 
 
-def mixture_report(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+def mixture_report(sizes: DataFrame, targets: DataFrame, seed: int = 0, edge: int = EDGE) -> DataFrame:
     """For each mix and source: wanted and actual tokens and shares, documents and the most copies of one."""
-    chosen = mixture(sizes, targets, seed)
+    chosen = mixture(sizes, targets, seed, edge)
     per = chosen.groupBy("mix", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("copies").alias("most_copies"))
     plan = allotment(sizes, targets).select("mix", "source", "target_share", "max_repeats", F.round("budget").cast("bigint").alias("target_tokens"))
     joined = plan.join(per, ["mix", "source"], "left")

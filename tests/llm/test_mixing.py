@@ -1,5 +1,5 @@
 import pytest
-from claimloom.llm.mixing import encoding, default_tokenizer, mixture, mixture_report
+from claimloom.llm.mixing import default_tokenizer, encoding, mixture, mixture_report, pieces, token_sizes
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,28 @@ def test_tokenizer_round_trip():
     e = encoding(default_tokenizer())
     for t in ("Hello  world\n\n", "Привет, мир 12345", "日本語", ""):
         assert e.decode(e.encode_ordinary(t)) == t
+
+
+@pytest.mark.parametrize("weight", [0.025, 0.1, 1.0])
+def test_small_weights_leave_no_large_last_bucket(spark, sizes, weight):
+    """All keys of small weights lie beyond the first buckets; the edge is divided until it is small."""
+    light = sizes.where("source = 'big'").withColumn("weight", F.lit(weight))
+    t = targets(spark, ("m", "big", 1.0, 1, 0.3))
+    fine, coarse = ({tuple(x) for x in mixture(light, t, 3, edge=e).collect()} for e in (20, 10**6))
+    total = light.agg(F.sum("tokens")).first()[0]
+    assert fine == coarse and abs(sum(x[3] for x in fine) - 0.3 * total) <= 28
+
+
+def test_equal_keys_and_whole_source(spark):
+    s = spark.createDataFrame([(7, "a", 1.0, 10)] * 5 + [(8, "a", 1.0, 10)], "doc_id bigint, source string, weight double, tokens bigint")
+    r = mixture_report(s, targets(spark, ("m", "a", 1.0, 1, 0.5), ("n", "a", 1.0, 1, 1.0), ("o", "a", 1.0, 2, 1.0)), edge=1).collect()
+    assert {x.mix: x.tokens for x in r} == {"m": 30, "n": 60, "o": 60}
+
+
+def test_long_texts_count_whole(spark):
+    e = encoding(default_tokenizer())
+    texts = ["word  and, more\n\n " * 9000, "x" * 70_000 + " tail", "日本語 " * 30_000, "a b", None, ""]
+    for t in texts[:3]:
+        assert "".join(pieces(t, 1000)) == t and sum(len(e.encode_ordinary(x)) for x in pieces(t, 1000)) == len(e.encode_ordinary(t))
+    d = spark.createDataFrame([(i, " S ", 200, t) for i, t in enumerate(texts)], "doc_id bigint, source string, http_status int, text string")
+    assert {r.doc_id: r.tokens for r in token_sizes(d).collect()} == {i: len(e.encode_ordinary(t or "")) for i, t in enumerate(texts)}
