@@ -6,7 +6,11 @@ nodes are high, so the links left shrink fast and there are depth / LEVELS round
 The lists travel as rows ``(ancestor, descendant, hops)``, not as arrays, so that a
 root above a third of all nodes never becomes one huge row; the size of a subtree is
 the number of its rows, and a node's path is its ancestors in the order of hops,
-which is the peel order reversed.  Links that a round can't peel lie on cycles.
+which is the peel order reversed.
+
+Links that a round can't peel lie on cycles or above them.  All pairs among these residual
+nodes come from pointer doubling (paths of twice the length each round, so a cycle of n
+nodes takes log n rounds), and the lists that reached them are sent on through these pairs.
 
 Null, blank and unknown ids are no links.  Extra columns are ignored.  Repeated
 rows count once.  An empty table gives an empty result.
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.runtime import norm_id, stage_path, staged
+from claimloom.runtime import drop_path, norm_id, stage_path, staged
 
 
 def hierarchy_links(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", children_col: str = "children") -> DataFrame:
@@ -35,7 +39,7 @@ def hierarchy_links(nodes: DataFrame, id_col: str = "id", parent_col: str = "par
     ).distinct()
 
 
-#: Levels peeled in one round; a cycle of at most so many nodes is recognised while it is walked.
+#: Levels of leaves peeled in one round; a cycle of at most so many nodes is recognised while it is walked.
 LEVELS = 8
 
 
@@ -55,6 +59,25 @@ def _climb(frontier: DataFrame, links: DataFrame, levels: int) -> DataFrame:
     return rows
 
 
+def doubled(links: DataFrame, root: str) -> DataFrame:
+    """All pairs ``(ancestor_id, descendant_id, hops)`` of ``links(child, parent)`` by pointer doubling, hops being the smallest number of links.
+
+    With every pair of up to n links known, one of up to 2 n is a pair of exactly n and one of up to n.
+    """
+    known = staged(links.select(F.col("parent").alias("ancestor_id"), F.col("child").alias("descendant_id"), F.lit(1).alias("hops")), "doubled", f"{root}/1")
+    n = 1
+    while True:
+        ends = known.where(F.col("hops") == n).select("descendant_id", F.col("ancestor_id").alias("at"), F.col("hops").alias("first"))
+        if ends.isEmpty():
+            return known
+        onward = known.select("ancestor_id", F.col("descendant_id").alias("at"), F.col("hops").alias("then"))
+        longer = ends.join(onward, "at").select("ancestor_id", "descendant_id", (F.col("first") + F.col("then")).cast("int").alias("hops"))
+        every = known.unionByName(longer).groupBy("ancestor_id", "descendant_id").agg(F.min("hops").alias("hops"))
+        n *= 2
+        known = staged(every, "doubled", f"{root}/{n}")
+        drop_path(links.sparkSession, f"{root}/{n // 2}")
+
+
 def peel(links: DataFrame, levels: int = LEVELS) -> DataFrame:
     """All pairs ``(ancestor_id, descendant_id, hops)`` of ``links(child, parent)``, hops being the smallest number of links."""
     spark = links.sparkSession
@@ -64,8 +87,7 @@ def peel(links: DataFrame, levels: int = LEVELS) -> DataFrame:
     left, done = live.count(), 1
     parts = [live.select(F.col("parent").alias("ancestor_id"), F.col("child").alias("descendant_id"), F.lit(1).alias("hops"))]
     frontier = live.select(F.col("child").alias("descendant_id"), F.lit(1).alias("hops"), F.col("parent").alias("at"))
-    stuck = False
-    while left and not stuck:
+    while left:
         rows = _climb(frontier, live, levels)
         steps = F.array(*[F.struct(F.col(f"a{i}").alias("ancestor_id"), (F.col("hops") + i).cast("int").alias("hops")) for i in range(1, levels + 1)])
         sent = rows.select("descendant_id", F.explode(F.filter(steps, lambda x: x["ancestor_id"].isNotNull())).alias("s")).select("s.ancestor_id", "descendant_id", "s.hops").distinct()
@@ -75,25 +97,13 @@ def peel(links: DataFrame, levels: int = LEVELS) -> DataFrame:
         frontier = out.where(F.col("hops") == done).select("descendant_id", "hops", F.col("ancestor_id").alias("at"))
         kept = staged(live.join(frontier.select(F.col("at").alias("child")).distinct(), "child", "left_semi"), "links", f"{root}/links-{done}")
         n = kept.count()
-        stuck, live, left = n == left, kept, n
-    if left:
-        # Longer cycles: one link a round, only pairs that are new.
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        tops = live.select(F.col("parent").alias("ancestor_id")).union(live.select("child")).distinct()
-        staged(every.join(tops, "ancestor_id", "left_semi").select("ancestor_id", "descendant_id").distinct(), "seen", f"{root}/seen/0")
-        while True:
-            seen = spark.read.schema("ancestor_id string, descendant_id string").option("recursiveFileLookup", True).parquet(f"{root}/seen")
-            up = live.select(F.col("child").alias("at"), F.col("parent").alias("ancestor_id"))
-            new = frontier.join(up, "at").select("ancestor_id", "descendant_id", (F.col("hops") + 1).cast("int").alias("hops")).distinct()
-            done += 1
-            out = staged(new.join(seen, ["ancestor_id", "descendant_id"], "left_anti"), "pairs", f"{root}/pairs-{done}")
-            if out.isEmpty():
-                break
-            parts.append(out)
-            out.select("ancestor_id", "descendant_id").write.parquet(f"{root}/seen/{done}")
-            frontier = out.select("descendant_id", "hops", F.col("ancestor_id").alias("at"))
+        if n == left:
+            # No leaf is left: cycles, and what lies above them.
+            pairs = doubled(kept, f"{root}/residual")
+            above = pairs.select("ancestor_id", F.col("descendant_id").alias("at"), F.col("hops").alias("more"))
+            parts += [pairs, frontier.join(above, "at").select("ancestor_id", "descendant_id", (F.col("hops") + F.col("more")).cast("int").alias("hops"))]
+            break
+        live, left = kept, n
     every = parts[0].select("ancestor_id", "descendant_id", "hops")
     for p in parts[1:]:
         every = every.unionByName(p)

@@ -33,8 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+_roots: dict[str, str] = {}
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/claimloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder of the shared one; the whole folder is dropped when the application ends.
+
+    Results read their stages lazily, so none can be dropped before; operators drop what only they read.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = f"{shared_dir(spark)}/claimloom/{app}"
+        atexit.register(_drop_root, app, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    return f"{_roots[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def _drop_root(app: str, jvm: object, conf: object) -> None:
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(_roots.pop(app))
+        target.getFileSystem(conf).delete(target, True)
+    except Exception:  # noqa: BLE001  the JVM may have ended first
+        return
 
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -47,3 +47,15 @@ def test_dirty_links_and_empty_table(spark, make_nodes):
     assert h["l1"].in_cycle and h["l1"].depth == -1 and h["l1"].root_id is None
     assert ancestor_pairs(n.limit(0)).count() == 0
     assert hierarchy(n.limit(0)).count() == 0
+
+
+def test_long_cycle_and_what_hangs_on_it(spark):
+    """A cycle of 500 nodes with a tail below and a chain above takes log rounds."""
+    links = [(f"c{i:03}", f"c{(i + 1) % 500:03}") for i in range(500)] + [("t1", "c000"), ("t0", "t1"), ("c250", "up1"), ("up1", "up2")]
+    got = {tuple(x) for x in peel(spark.createDataFrame(links, "child string, parent string")).collect()}
+    assert got == brute(links)
+
+
+def test_deep_chain(spark):
+    links = [(f"d{i:03}", f"d{i + 1:03}") for i in range(60)]
+    assert {tuple(x) for x in peel(spark.createDataFrame(links, "child string, parent string")).collect()} == brute(links)
