@@ -24,11 +24,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.statements import field_form
-from claimloom.runtime import map_batches, norm_id
+from claimloom.runtime import map_batches, norm_id, staged
 
 #: Characters of a chunk, and of the window round an event, which a chunk overlaps on either side.
 CHUNK, WINDOW = 1 << 16, 160
@@ -258,10 +258,37 @@ def sentence_ends_chunked(text: str, chunk: int = CHUNK) -> list[int]:
 
 
 _FRAGMENTS = "array<struct<state:int,ends:array<int>,waiting:array<int>,verdict:boolean>>"
+#: Functions that one step of the scan composes.
+FAN = 64
+
+
+def entering_states(maps: DataFrame) -> DataFrame:
+    """``(id, field, at, entered)`` for each chunk, of its state map ``(id, field, at, map)``: a parallel prefix scan.
+
+    Going up, FAN neighbouring maps become one; going down, every block gives each of its parts the state it is entered
+    in.  Both take log steps, and no row is longer than FAN maps.
+    """
+    key = ["id", "field", "at"]
+    blocks = []
+    top = maps.agg(F.max("at")).first()[0] or 0
+    level = maps
+    while top > 0:
+        kids = F.array_sort(F.collect_list(F.struct("at", "map")))
+        grouped = level.groupBy("id", "field", F.floor(F.col("at") / FAN).cast("int").alias("block")).agg(kids.alias("kids")).withColumnRenamed("block", "at")
+        whole = F.aggregate("kids", F.array(*map(F.lit, range(N_STATES))), lambda m, k: F.transform(m, lambda s: F.get(k["map"], s)))
+        level = staged(grouped.select(*key, whole.alias("map"), "kids"), "scan")
+        blocks.append(level)
+        top //= FAN
+    entered = level.select(*key, F.lit(0).alias("entered"))
+    for block in reversed(blocks):
+        start = F.struct(F.col("entered").alias("s"), F.array().cast("array<struct<at:int,entered:int>>").alias("out"))
+        told = F.aggregate("kids", start, lambda a, k: F.struct(F.get(k["map"], a["s"]).alias("s"), F.array_append(a["out"], F.struct(k["at"].alias("at"), a["s"].alias("entered"))).alias("out")))
+        entered = block.join(entered, key).select("id", "field", F.explode(told["out"]).alias("x")).select("id", "field", "x.at", "x.entered")
+    return entered
 
 
 def _long_ends(texts: DataFrame, chunk: int) -> DataFrame:
-    """``(id, field, ends)`` of long texts: chunks in parallel, then a scan over their functions for each text."""
+    """``(id, field, sent_end)`` of long texts: functions of chunks in parallel, a prefix scan over them, then each chunk's own ends."""
     size = F.length("text")
     last = F.length(F.regexp_replace("text", r"(?U)\s+$", ""))
     shouting = (F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text"))
@@ -279,20 +306,16 @@ def _long_ends(texts: DataFrame, chunk: int) -> DataFrame:
             yield kept.append_column("functions", pa.array(out, kind))
 
     read_pieces = map_batches(pieces, read, f"id string, field string, last int, lo int, functions {_FRAGMENTS}")
-
-    def scan(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups:
-            ends = []
-            for r in batch.to_pylist():
-                whole = Fragment(0, (), (), None)
-                for c in sorted(r["chunks"], key=lambda c: c["lo"]):
-                    fs = tuple(Fragment(f["state"], tuple(f["ends"]), tuple(f["waiting"]), f["verdict"]) for f in c["functions"])
-                    whole = compose(whole, fs)
-                ends.append(finish(whole, r["last"]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("field"), pa.array(ends, pa.list_(pa.int32()))], names=["id", "field", "ends"])
-
-    per_text = read_pieces.groupBy("id", "field").agg(F.max("last").alias("last"), F.collect_list(F.struct("lo", "functions")).alias("chunks"))
-    return map_batches(per_text, scan, "id string, field string, ends array<int>")
+    chunks = staged(read_pieces.select("id", "field", (F.col("lo") / chunk).cast("int").alias("at"), "last", "functions"), "chunks")
+    known = chunks.join(entering_states(chunks.select("id", "field", "at", F.col("functions.state").alias("map"))), ["id", "field", "at"])
+    known = known.select("id", "field", "at", "last", F.get("functions", "entered").alias("f"), "entered")
+    # Marks in a quotation that is still open wait for the chunk that closes it; one that never closes ends with the text.
+    verdicts = known.select("id", "field", "at", F.when(F.col("entered") > 0, F.col("f.verdict")).alias("verdict"))
+    later = F.first("verdict", ignorenulls=True).over(Window.partitionBy("id", "field").orderBy("at").rowsBetween(1, Window.unboundedFollowing))
+    stands = verdicts.select("id", "field", "at", F.coalesce(later, F.lit(True)).alias("stands"))
+    ends = F.concat("f.ends", F.when(F.col("stands"), F.col("f.waiting")).otherwise(F.array().cast("array<int>")))
+    own = known.join(stands, ["id", "field", "at"]).select("id", "field", "last", F.explode(ends).alias("sent_end")).where("sent_end < last")
+    return own.select("id", "field", "sent_end").unionByName(chunks.where("at = 0").select("id", "field", F.col("last").alias("sent_end")))
 
 
 def boundaries(nodes: DataFrame, fields: tuple[str, ...] = ("claim", "context"), chunk: int = CHUNK) -> DataFrame:
@@ -309,8 +332,7 @@ def boundaries(nodes: DataFrame, fields: tuple[str, ...] = ("claim", "context"),
 
     short = map_batches(rows.where(~is_long), run, "id string, field string, ends array<int>")
     long_rows = rows.where(is_long).select("id", "field", "text").distinct()
-    every = short.unionByName(_long_ends(long_rows, chunk))
-    return every.select("id", "field", F.explode("ends").alias("sent_end")).distinct()
+    return short.select("id", "field", F.explode("ends").alias("sent_end")).unionByName(_long_ends(long_rows, chunk)).distinct()
 
 
 def sentences(nodes: DataFrame, fields: tuple[str, ...] = ("claim", "context"), chunk: int = CHUNK) -> DataFrame:

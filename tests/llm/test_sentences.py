@@ -1,4 +1,4 @@
-from claimloom.llm.sentences import boundaries, sentence_ends, sentence_ends_chunked, sentences
+from claimloom.llm.sentences import FAN, boundaries, sentence_ends, sentence_ends_chunked, sentences
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,6 +64,8 @@ def test_spark_paths_agree(make_nodes):
     assert {tuple(r) for r in boundaries(n).collect()} == want
     # the long path: chunk functions in parallel, then the scan
     assert {tuple(r) for r in boundaries(n, chunk=700).collect()} == want
+    # more chunks than one step of the scan composes, and quotations longer than a chunk
+    assert {tuple(r) for r in boundaries(n, chunk=190).collect()} == want and len(long) > 190 * FAN
     assert boundaries(n).count() == len(want) and boundaries(n.limit(0)).count() == 0
     s = {(r.id, r.field, r.sent_no): r.sentence for r in sentences(n).collect()}
     assert s[("a", "claim", 1)] == "Two!" and len(s) == len(want)
