@@ -78,16 +78,6 @@ def broken_edges(edges: DataFrame, snap: DataFrame) -> DataFrame:
     return edges.join(snap.select(C("id").alias("dst")), "dst", "left_anti").select("edge_id", "src", "dst")
 
 
-def depth(snap: DataFrame, limit: int = 5) -> DataFrame:
-    """GR-6: number of parents above each node, at most ``limit``, and the topmost of them reached."""
-    up = snap.select("id", norm_id(C("parent")).alias("p"))
-    up = up.join(snap.select(C("id").alias("p")), "p", "left_semi").select(C("id").alias("at"), C("p").alias("above"))
-    rows = snap.select("id", C("id").alias("at"), F.lit(0).alias("depth"))
-    for _ in range(limit):
-        rows = rows.join(up, "at", "left").select("id", F.coalesce("above", "at").alias("at"), (C("depth") + C("above").isNotNull().cast("int")).alias("depth"))
-    return rows.select("id", "depth", C("at").alias("top_id"))
-
-
 def rules_for(edges: DataFrame, snap: DataFrame, situations: DataFrame, now: float, limit: int = 10) -> DataFrame:
     """GR-4: rules that apply in a situation ``(qid, q)``.
 

@@ -147,16 +147,14 @@ def consistency_gate(snap: DataFrame) -> DataFrame:
     return j.select("id", verdict.alias("verdict"), F.coalesce("duplicate_of", "against", F.lit("")).alias("other_id"))
 
 
-def write_gates(snap: DataFrame, now: float) -> DataFrame:
-    """GT-6: G1, G3, G4, G2 in this order, the first that does not pass decides."""
+def gated(snap: DataFrame, now: float) -> DataFrame:
+    """GT-6: ``(id, gate, verdict, other_id)``: G1, G3, G4, G2 in this order, the first that does not pass decides; other_id is what G4 found."""
     g3 = source_gate(snap).select("id", C("verdict").alias("g3"))
-    g4 = consistency_gate(snap).select("id", C("verdict").alias("g4"))
+    g4 = consistency_gate(snap).select("id", C("verdict").alias("g4"), "other_id")
     j = snap.select("id", confidence_gate().alias("g1"), staleness_gate(now).alias("g2")).join(g3, "id").join(g4, "id")
     first = lambda pick: F.coalesce(*[F.when(C(g) != "pass", pick(g)) for g in ("g1", "g3", "g4", "g2")])
-    return j.select("id", F.coalesce(first(lambda g: F.lit(g)), F.lit("")).alias("gate"), F.coalesce(first(lambda g: C(g)), F.lit("pass")).alias("verdict"))
+    return j.select("id", F.coalesce(first(lambda g: F.lit(g)), F.lit("")).alias("gate"), F.coalesce(first(lambda g: C(g)), F.lit("pass")).alias("verdict"), "other_id")
 
 
-def top_links(snap: DataFrame, k: int) -> DataFrame:
-    """The k first links of each row."""
-    w = Window.partitionBy("src").orderBy("pos", "dst")
-    return long_links(snap).withColumn("r", F.row_number().over(w)).where(C("r") <= k)
+def write_gates(snap: DataFrame, now: float) -> DataFrame:
+    return gated(snap, now).drop("other_id")

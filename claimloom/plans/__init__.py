@@ -4,7 +4,7 @@ import importlib
 
 from claimloom.plans.registry import Registry, core
 
-MODULES = ("graph_quality", "store", "quality", "search", "graph", "grounding", "logs")
+MODULES = ("graph_quality", "store", "quality", "search", "graph", "grounding", "logs", "intake")
 
 
 def all_core() -> Registry:

@@ -61,15 +61,6 @@ def broken_edges(s: SparkSession, d: str) -> DataFrame:
     return G.broken_edges(edges(s, d), snap(s, d))
 
 
-@core.query(
-    "ancestors",
-    f"""WITH RECURSIVE {SNAP}, u AS (SELECT id, {nid('parent')} AS p FROM n WHERE {nid('parent')} IN (SELECT id FROM n)), a(id, node, depth) AS (SELECT id, id, 0 FROM n UNION ALL SELECT a.id, u.p, depth + 1 FROM a JOIN u ON u.id = a.node WHERE depth < 5)
-SELECT id, depth, node AS top_id FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth DESC) = 1""",
-)
-def ancestors(s: SparkSession, d: str) -> DataFrame:
-    return G.depth(snap(s, d))
-
-
 SITUATIONS = [(1, "vornal valve scheduler stopped"), (2, "tarev archive night index"), (3, "memory search report")]
 _SQ = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SITUATIONS) + ") t(qid, q))"
 
