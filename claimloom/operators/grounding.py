@@ -33,43 +33,71 @@ def split_claims(answers: DataFrame) -> DataFrame:
     return first.withColumn("pos", F.row_number().over(w)).where(C("pos") <= MAX_CLAIMS).select("answer_id", "pos", C("x.claim").alias("claim"))
 
 
-def numbers(text: Column) -> Column:
-    """TX-23: distinct numbers in normal form."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0)), S.norm_number)))
+def number_contexts(text: Column) -> Column:
+    """TX-24: struct of the distinct numbers of a text and of "number, neighbour" pairs.
+
+    Neighbours are stems: "=" of the word that holds the number, "<" of the word before, ">" of the word behind.
+    """
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
+    stem = lambda w: F.coalesce(F.get(S.budget_tokens(w, 2), F.lit(0)), F.lit(""))
+    places = F.filter(F.transform(words, lambda w, i: F.when(w.rlike("[0-9]"), i)), lambda i: i.isNotNull())
+
+    def at(i: Column) -> Column:
+        near = F.array(*[F.concat(F.lit(mark), stem(F.get(words, i + k))) for mark, k in (("=", 0), ("<", -1), (">", 1))])
+        nums = F.transform(F.regexp_extract_all(F.get(words, i), F.lit(NUMBER), F.lit(0)), S.norm_number)
+        return F.transform(nums, lambda v: F.struct(v.alias("num"), F.transform(F.filter(near, lambda x: F.length(x) > 1), lambda x: F.concat(v, F.lit(" "), x)).alias("near")))
+
+    found = F.flatten(F.transform(places, at))
+    return F.struct(F.array_distinct(F.transform(found, lambda x: x["num"])).alias("nums"), F.array_distinct(F.flatten(F.transform(found, lambda x: x["near"]))).alias("near"))
+
+
+def numbers_missing(wants: Column, has: Column) -> Column:
+    """TX-24: how many numbers of a claim a node lacks, or has beside other words only; a number that stands alone on one side counts as it is."""
+
+    def lacks(v: Column) -> Column:
+        of = lambda p: p.startswith(F.concat(v, F.lit(" ")))
+        common = F.exists(wants["near"], lambda p: of(p) & F.array_contains(has["near"], p))
+        return ~F.array_contains(has["nums"], v) | (F.exists(wants["near"], of) & F.exists(has["near"], of) & ~common)
+
+    return F.size(F.filter(wants["nums"], lacks))
 
 
 def supports(snap: DataFrame, claims: DataFrame) -> DataFrame:
-    """SR-14, SR-15: ``(answer_id, pos, id, coverage, live, missing)`` for each claim and candidate node.
+    """SR-14, SR-15: ``(answer_id, pos, id, seq, coverage, live)`` for each claim and candidate node.
 
-    missing holds the numbers of the claim that the node lacks.
+    The rare tokens of a claim find its candidates, and their mass is summed in that join; only the frequent tokens
+    beyond them are looked up in the tokens of the candidates.
     """
-    # One pass over the texts; frequencies, postings and scores read the written tokens.
     own = F.array_distinct(S.budget_tokens(node_text()))
-    nodes = staged(snap.where("kind <> 'hub'").select("id", "seq", (~C("kind").isin("refuted", "outdated")).alias("live"), numbers(node_text()).alias("has"), own.alias("own")), "node-tokens")
+    hashed = lambda c: F.transform(c, lambda t: F.xxhash64(t))
+    nodes = staged(snap.where("kind <> 'hub'").select("id", "seq", (~C("kind").isin("refuted", "outdated")).alias("live"), own.alias("own")), "node-tokens")
     post = nodes.select("id", F.explode("own").alias("token"))
     n = nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = staged(post.groupBy("token").agg(F.count(F.lit(1)).alias("df")).select("token", F.round(F.ln(1 + n / C("df")), 6).alias("idf")), "idf")
     unseen = idf.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("m")).scalar()
-    ct = claims.select("answer_id", "pos", F.explode(F.array_distinct(S.budget_tokens(C("claim")))).alias("token")).join(idf, "token", "left")
-    mass = ct.groupBy("answer_id", "pos").agg(F.sum(F.coalesce("idf", unseen)).alias("mass"))
-    known = ct.where("idf is not null")
-    rare = known.withColumn("r", F.row_number().over(Window.partitionBy("answer_id", "pos").orderBy(C("idf").desc(), "token"))).withColumn("seeks", C("r") <= CANDIDATE_TOKENS)
-    # Candidates come from the rare tokens only; the mass they share is summed over the two token arrays.
-    found = rare.where("seeks").join(post, "token").select("answer_id", "pos", "id").distinct()
-    wanted = known.groupBy("answer_id", "pos").agg(F.array_sort(F.collect_list(F.struct("token", "idf"))).alias("ts"))
-    got = F.aggregate("ts", F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains("own", t["token"]), t["idf"]).otherwise(0.0))
-    j = found.join(wanted, ["answer_id", "pos"]).join(mass, ["answer_id", "pos"]).join(claims.select("answer_id", "pos", numbers(C("claim")).alias("wants")), ["answer_id", "pos"]).join(nodes, "id").withColumn("got", got)
-    return j.select("answer_id", "pos", "id", "seq", F.round(C("got") / C("mass"), 6).alias("coverage"), "live", F.size(F.array_except("wants", "has")).alias("missing"))
+    key = ["answer_id", "pos"]
+    ct = claims.select(*key, F.explode(F.array_distinct(S.budget_tokens(C("claim")))).alias("token")).join(idf, "token", "left")
+    mass = ct.groupBy(*key).agg(F.sum(F.coalesce("idf", unseen)).alias("mass"))
+    known = staged(ct.where("idf is not null").withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(C("idf").desc(), "token"))), "claim-tokens")
+    found = known.where(C("r") <= CANDIDATE_TOKENS).join(post, "token").groupBy(*key, "id").agg(F.sum("idf").alias("rare"))
+    rest = known.where(C("r") > CANDIDATE_TOKENS).groupBy(*key).agg(F.collect_list(F.struct(F.xxhash64("token").alias("t"), "idf")).alias("rest"))
+    told = mass.join(rest, key, "left").withColumn("rest", F.coalesce("rest", F.array().cast("array<struct<t:bigint,idf:double>>")))
+    more = F.aggregate("rest", F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains("h", t["t"]), t["idf"]).otherwise(0.0))
+    j = found.join(told, key).join(nodes.select("id", "seq", "live", hashed(C("own")).alias("h")), "id")
+    return j.select(*key, "id", "seq", F.round((C("rare") + more) / C("mass"), 6).alias("coverage"), "live")
 
 
 def verify_claims(snap: DataFrame, claims: DataFrame) -> DataFrame:
     """GN-1: verdict of each claim from its best live and best stale support."""
-    return verdicts(supports(snap, claims), claims)
+    return verdicts(supports(snap, claims), claims, snap)
 
 
-def verdicts(s: DataFrame, claims: DataFrame) -> DataFrame:
-    """GN-1 over the supports ``s`` of the claims."""
-    top = s.groupBy("answer_id", "pos", "live").agg(F.max(F.struct("coverage", (-C("seq")).alias("s"), "id", "missing")).alias("b"))
+def verdicts(s: DataFrame, claims: DataFrame, snap: DataFrame) -> DataFrame:
+    """GN-1 over the supports ``s`` of the claims; numbers are compared for the best node of each side alone."""
+    best = s.groupBy("answer_id", "pos", "live").agg(F.max(F.struct("coverage", (-C("seq")).alias("s"), "id")).alias("b")).withColumn("id", C("b.id"))
+    texts = snap.join(best.select("id").distinct(), "id", "left_semi").select("id", number_contexts(node_text()).alias("has"))
+    wants = claims.select("answer_id", "pos", number_contexts(C("claim")).alias("wants"))
+    top = best.join(texts, "id").join(wants, ["answer_id", "pos"]).select("answer_id", "pos", "live", F.struct("b.coverage", "b.id", numbers_missing(C("wants"), C("has")).alias("missing")).alias("b"))
     side = lambda x, name: top.where(x).select("answer_id", "pos", C("b.coverage").alias(f"{name}_cov"), C("b.id").alias(f"{name}_id"), C("b.missing").alias(f"{name}_missing"))
     j = claims.select("answer_id", "pos").join(side("live", "l"), ["answer_id", "pos"], "left").join(side("not live", "s"), ["answer_id", "pos"], "left")
     stale_wins = (C("s_cov") >= STRONG) & (C("s_cov") >= F.coalesce("l_cov", F.lit(0.0)))
@@ -95,13 +123,20 @@ def answer_verdicts(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
     return j.select("answer_id", "supported", "partial", "unsupported", "refuted", "total", F.round(ratio, 6).alias("ratio"), verdict.alias("verdict"))
 
 
+def with_prepass(judged: DataFrame, prepass: DataFrame) -> DataFrame:
+    """GN-2: an answer whose session had no valid pre-pass is ungrounded, whatever its claims say; ``prepass(answer_id, prepass_id)`` has -1 for none."""
+    ok = F.coalesce(C("prepass_id"), F.lit(-1)) >= 0
+    j = judged.withColumnRenamed("verdict", "claims_verdict").join(prepass, "answer_id", "left")
+    return j.select(*judged.drop("verdict").columns, "claims_verdict", ok.alias("pre_pass"), F.when(ok, C("claims_verdict")).otherwise("ungrounded").alias("verdict"))
+
+
 def source_nodes(snap: DataFrame, claims: DataFrame, top: int = 3) -> DataFrame:
     """AG-13: nodes behind an answer with their best coverage, from the top supports of claims that are not unsupported.
 
     Supports are live nodes, and stale ones where a claim is refuted or has no live candidate.
     """
     s = staged(supports(snap, claims).where("coverage > 0"), "supports")
-    judged = verdicts(s, claims).where("verdict <> 'unsupported'").select("answer_id", "pos", "verdict")
+    judged = verdicts(s, claims, snap).where("verdict <> 'unsupported'").select("answer_id", "pos", "verdict")
     side = Window.partitionBy("answer_id", "pos")
     wanted = F.max("live").over(side) & (C("verdict") != "refuted")
     w = side.orderBy(C("coverage").desc(), "seq")

@@ -91,9 +91,11 @@ def claim_pairs(facets: DataFrame, threshold: float, sides: tuple[DataFrame, Dat
     df = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     ranked = words.select("cid", "w").join(df, "w").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
     size = F.size("ws")
-    prefix = ranked.select("cid", size.alias("size"), F.explode(F.slice("ws", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("x")).select("cid", "size", "x.w")
-    other = prefix.select(C("cid").alias("b"), C("size").alias("size_b"), "w")
-    ratio = (C("size") >= C("size_b") * threshold - 1e-9) & (C("size_b") >= C("size") * threshold - 1e-9)
+    prefix = ranked.select("cid", size.alias("size"), F.posexplode(F.slice("ws", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("pos", "x")).select("cid", "size", "pos", "x.w")
+    other = prefix.select(C("cid").alias("b"), C("size").alias("size_b"), C("pos").alias("pos_b"), "w")
+    # At their first common token two similar sets still have enough tokens left: late, frequent tokens meet only long remainders.
+    enough = F.least(C("size") - C("pos"), C("size_b") - C("pos_b")) + 1e-6 >= (C("size") + C("size_b")) * (threshold / (1 + threshold))
+    ratio = (C("size") >= C("size_b") * threshold - 1e-9) & (C("size_b") >= C("size") * threshold - 1e-9) & enough
     if sides:
         prefix = prefix.join(sides[0].select("cid"), "cid", "left_semi")
         other = other.join(sides[1].select(C("cid").alias("b")), "b", "left_semi")

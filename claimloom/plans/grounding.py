@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.functions import questions as T
 from claimloom.operators import grounding as G
 from claimloom.plans.registry import core
 from claimloom.plans.search import _IDF, _NT, _POST, _SCORE, ASKED, _scored, asked
-from claimloom.plans.sqlbits import ACTIVE, LOG, NOW, SNAP, decayed, iso, tokens, weight
+from claimloom.plans.sqlbits import ACTIVE, LOG, NOW, SNAP, decayed, first_sentence, iso, tokens, weight
 from claimloom.plans.store import log, seconds, snap
 from claimloom.runtime import table
 
@@ -42,13 +43,27 @@ def _num(x: str) -> str:
     return n.format(x)
 
 
+def _near(words: str, key: str) -> str:
+    """Rows of number and neighbour; a row without neighbour ('') keeps the number."""
+    stem = lambda w: f"coalesce(({tokens(w, 2)})[1], '')"
+    at = f"SELECT {key}, w[i] AS me, coalesce(w[i - 1], '') AS le, coalesce(w[i + 1], '') AS ri FROM (SELECT {key}, w, unnest(range(1, len(w) + 1)) AS i FROM {words}) WHERE regexp_matches(w[i], '[0-9]')"
+    st = f"SELECT {key}, me, {stem('me')} AS sm, {stem('le')} AS sl, {stem('ri')} AS sr FROM ({at})"
+    ctx = "['', CASE WHEN sm <> '' THEN '=' || sm ELSE '' END, CASE WHEN sl <> '' THEN '<' || sl ELSE '' END, CASE WHEN sr <> '' THEN '>' || sr ELSE '' END]"
+    return f"SELECT {key}, num, unnest(cs) AS ctx FROM (SELECT {key}, unnest({_num('me')}) AS num, {ctx} AS cs FROM ({st}))"
+
+
 _SUP = f"""{_POST}, {_IDF}, ct AS (SELECT answer_id, pos, token, idf FROM (SELECT DISTINCT answer_id, pos, unnest({tokens('claim')}) AS token FROM claims) LEFT JOIN idf USING (token)),
 ms AS (SELECT answer_id, pos, sum(coalesce(idf, (SELECT max(idf) FROM idf))) AS mass FROM ct GROUP BY ALL),
 rr AS (SELECT *, row_number() OVER (PARTITION BY answer_id, pos ORDER BY idf DESC, token) <= 8 AS seeks FROM ct WHERE idf IS NOT NULL),
 ht AS (SELECT answer_id, pos, id, sum(idf) AS got, bool_or(seeks) AS seeks FROM rr JOIN post USING (token) GROUP BY ALL),
-nn AS (SELECT id, seq, kind, {_num(_NT)} AS has FROM n),
-sp AS (SELECT answer_id, pos, id, seq, round(got / mass, 6) AS coverage, kind NOT IN ('refuted', 'outdated') AS live, len(list_filter(list_distinct({_num('claim')}), lambda v: NOT list_contains(has, v))) AS missing FROM ht JOIN ms USING (answer_id, pos) JOIN claims USING (answer_id, pos) JOIN nn USING (id) WHERE seeks),
-best AS (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY answer_id, pos, live ORDER BY coverage DESC, seq) = 1),
+sp AS (SELECT answer_id, pos, id, seq, round(got / mass, 6) AS coverage, kind NOT IN ('refuted', 'outdated') AS live FROM ht JOIN ms USING (answer_id, pos) JOIN n USING (id) WHERE seeks),
+b0 AS (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY answer_id, pos, live ORDER BY coverage DESC, seq) = 1),
+cw AS (SELECT answer_id, pos, regexp_extract_all(claim, '\\S+') AS w FROM claims), cn AS (SELECT DISTINCT answer_id, pos, num, ctx FROM ({_near('cw', 'answer_id, pos')})),
+nw AS (SELECT id, regexp_extract_all({_NT}, '\\S+') AS w FROM n WHERE id IN (SELECT id FROM b0)), nn AS (SELECT DISTINCT id, num, ctx FROM ({_near('nw', 'id')})),
+lk AS (SELECT b0.answer_id, b0.pos, b0.id, c.num FROM b0 JOIN (SELECT DISTINCT answer_id, pos, num FROM cn) c USING (answer_id, pos) WHERE NOT EXISTS (SELECT 1 FROM nn WHERE nn.id = b0.id AND nn.num = c.num)
+ OR (EXISTS (SELECT 1 FROM cn x WHERE x.answer_id = b0.answer_id AND x.pos = b0.pos AND x.num = c.num AND x.ctx <> '') AND EXISTS (SELECT 1 FROM nn WHERE nn.id = b0.id AND nn.num = c.num AND nn.ctx <> '')
+  AND NOT EXISTS (SELECT 1 FROM cn x JOIN nn y ON x.num = y.num AND x.ctx = y.ctx WHERE x.answer_id = b0.answer_id AND x.pos = b0.pos AND x.num = c.num AND y.id = b0.id AND x.ctx <> ''))),
+best AS (SELECT b0.*, (SELECT count(*) FROM lk WHERE lk.answer_id = b0.answer_id AND lk.pos = b0.pos AND lk.id = b0.id) AS missing FROM b0),
 vj AS (SELECT c.answer_id, c.pos, l.coverage AS lc, l.id AS li, l.missing AS lm, s.coverage AS sc, s.id AS si, s.missing AS sm FROM claims c LEFT JOIN best l ON l.answer_id = c.answer_id AND l.pos = c.pos AND l.live LEFT JOIN best s ON s.answer_id = c.answer_id AND s.pos = c.pos AND NOT s.live),
 vd AS (SELECT answer_id, pos, CASE WHEN sc >= 0.6 AND sc >= coalesce(lc, 0) THEN 'refuted' WHEN coalesce(lc, sc) >= 0.6 AND coalesce(lm, sm) = 0 THEN 'supported' WHEN coalesce(lc, sc) >= 0.3 THEN 'partial' ELSE 'unsupported' END AS verdict,
  coalesce(CASE WHEN sc >= 0.6 AND sc >= coalesce(lc, 0) THEN sc ELSE coalesce(lc, sc) END, 0)::DOUBLE AS coverage, coalesce(CASE WHEN sc >= 0.6 AND sc >= coalesce(lc, 0) THEN si ELSE coalesce(li, si) END, '') AS support_id FROM vj)"""
@@ -91,18 +106,36 @@ def eval_sweep(s: SparkSession, d: str) -> DataFrame:
     return v.withColumn("threshold_pct", th).groupBy("threshold_pct").agg(F.count_if(fired).alias("fired"), F.count_if(fired & (C("verdict") == "supported")).alias("correct"))
 
 
-_FORMS = f"""o AS (SELECT seq, substr(claim, 1, 220) AS text FROM n WHERE kind = 'fact' AND seq % 50 = 0),
-a AS (SELECT seq * 2 AS answer_id, text FROM o UNION ALL SELECT seq * 2 + 1, translate(text, '0123456789', '1234567890') FROM o), {_split('a')}"""
+INVENTION = "The copper lighthouse dances with nineteen velvet umbrellas."
+FORMS = ("quote", "numbers swapped", "quote and invention", "invention")
+_FORMS = f"""o AS (SELECT seq, {first_sentence('claim', 220)} AS text FROM n WHERE kind = 'fact' AND seq % 50 = 0),
+a AS (SELECT seq * 4 AS answer_id, text FROM o UNION ALL SELECT seq * 4 + 1, translate(text, '0123456789', '1234567890') FROM o UNION ALL SELECT seq * 4 + 2, text || ' {INVENTION}' FROM o UNION ALL SELECT seq * 4 + 3, '{INVENTION}' FROM o), {_split('a')}"""
 
 
-@core.query("eval_confusion", f"WITH {SNAP}, {_FORMS}, {_SUP}, {_AGG} SELECT CASE WHEN answer_id % 2 = 0 THEN 'quote' ELSE 'numbers swapped' END AS form, verdict, count(*) AS n FROM av GROUP BY ALL")
+@core.query("eval_confusion", f"WITH {SNAP}, {_FORMS}, {_SUP}, {_AGG} SELECT {list(FORMS)}[answer_id % 4 + 1] AS form, verdict, count(*) AS n FROM av GROUP BY ALL")
 def eval_confusion(s: SparkSession, d: str) -> DataFrame:
-    """AG-21, EV-1, EV-3, EV-4: verdicts of quoted facts and of the same with every digit raised by one."""
+    """AG-21, EV-1, EV-3, EV-4: verdicts of quoted first sentences, of the same with every digit raised by one, with an invention behind, and of the invention alone."""
     n = snap(s, d)
-    facts = n.where("kind = 'fact' and seq % 50 = 0").select("seq", F.substring("claim", 1, 220).alias("text"))
-    a = facts.select((C("seq") * 2).alias("answer_id"), "text").union(facts.select(C("seq") * 2 + 1, F.translate("text", "0123456789", "1234567890")))
+    facts = n.where("kind = 'fact' and seq % 50 = 0").select("seq", T.first_sentence(C("claim"), 220).alias("text"))
+    texts = F.array(C("text"), F.translate("text", "0123456789", "1234567890"), F.concat("text", F.lit(f" {INVENTION}")), F.lit(INVENTION))
+    a = facts.select("seq", F.posexplode(texts).alias("form", "text")).select((C("seq") * 4 + C("form")).alias("answer_id"), "text")
     v = G.answer_verdicts(a, G.verify_claims(n, G.split_claims(a)))
-    return v.groupBy(F.when(C("answer_id") % 2 == 0, "quote").otherwise("numbers swapped").alias("form"), "verdict").agg(F.count(F.lit(1)).alias("n"))
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (C("answer_id") % 4 + 1).cast("int"))
+    return v.groupBy(form.alias("form"), "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LOGGED = f"{LOG}, a AS (SELECT rec_id AS answer_id, query AS text FROM g WHERE event = 'ground' AND rec_id % 50 = 0), {_split('a')}"
+_PRE = """px AS (SELECT rec_id, event, session_id, epoch(ts) AS t, coalesce(len(node_ids), 0) AS c FROM g WHERE session_id IS NOT NULL),
+pp AS (SELECT DISTINCT x.rec_id FROM px x JOIN px y ON x.session_id = y.session_id AND y.event = 'prepare' AND y.c > 0 AND y.t < x.t AND x.t - y.t <= 3600 WHERE x.event = 'ground')"""
+
+
+@core.query("ground_with_prepass", f"WITH {SNAP}, {_LOGGED}, {_SUP}, {_AGG}, {_PRE} SELECT answer_id, supported, partial, unsupported, refuted, total, ratio, verdict AS claims_verdict, answer_id IN (SELECT rec_id FROM pp) AS pre_pass, CASE WHEN answer_id IN (SELECT rec_id FROM pp) THEN verdict ELSE 'ungrounded' END AS verdict FROM av")
+def ground_with_prepass(s: SparkSession, d: str) -> DataFrame:
+    """GN-2: logged texts whose record id is divisible by 50, and the pre-pass of their sessions."""
+    g = log(s, d)
+    a = g.where("event = 'ground' and rec_id % 50 = 0").select(C("rec_id").alias("answer_id"), C("query").alias("text"))
+    pre = G.prepass_asof(g, seconds("ts")).withColumnRenamed("rec_id", "answer_id")
+    return G.with_prepass(G.answer_verdicts(a, G.verify_claims(snap(s, d), G.split_claims(a))), pre)
 
 
 @core.query(

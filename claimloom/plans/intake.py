@@ -13,7 +13,7 @@ from claimloom.plans.logs import _MSG, messages
 from claimloom.plans.quality import _G2, QSQL, queries_df
 from claimloom.plans.registry import core
 from claimloom.plans.search import _WSQL, ASKED, asked, edges
-from claimloom.plans.sqlbits import EDGES, HITS, LOG, NOW, SNAP, any_of, nid, weight
+from claimloom.plans.sqlbits import EDGES, HITS, LOG, NOW, SNAP, any_of, first_sentence, nid, weight
 from claimloom.plans.store import hits, log, snap
 
 C = F.col
@@ -85,14 +85,7 @@ def source_hashes(s: SparkSession, d: str) -> DataFrame:
     return snap(s, d).select("id", T.source_hash(C("claim"), C("context"), C("source"), C("evidence")).alias("src"), F.sha2(F.coalesce("claim", F.lit("")), 256).alias("claim_sha256"))
 
 
-_ONE = "trim(regexp_replace(coalesce(claim, ''), '\\s+', ' ', 'g'))"
-
-
-@core.query(
-    "first_sentences",
-    f"""WITH {SNAP}, a AS (SELECT id, {_ONE} AS one FROM n), h AS (SELECT id, CASE WHEN regexp_extract(one, '^(.*?[.!?…])(?: |$)', 1) <> '' THEN regexp_extract(one, '^(.*?[.!?…])(?: |$)', 1) ELSE one END AS head FROM a)
-SELECT id, CASE WHEN length(head) <= 160 THEN head ELSE coalesce(nullif(regexp_extract(head[1:159], '^(.*) ', 1), ''), head[1:160]) || '…' END AS sentence FROM h""",
-)
+@core.query("first_sentences", f"WITH {SNAP} SELECT id, {first_sentence('claim', 160)} AS sentence FROM n")
 def first_sentences(s: SparkSession, d: str) -> DataFrame:
     return snap(s, d).select("id", T.first_sentence(C("claim")).alias("sentence"))
 

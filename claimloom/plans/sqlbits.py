@@ -46,11 +46,11 @@ def quoted(words) -> str:
 _STOPS = sorted({w.replace("ё", "е")[:6] for w in S.STOP_WORDS.split()} | {w[:6] for w in S.STOP_WORDS.split()})
 
 
-def tokens(c: str) -> str:
+def tokens(c: str, min_len: int = 3) -> str:
     """Budget tokens (TX-2)."""
     return (
         f"list_filter(list_transform(list_filter(list_transform(regexp_extract_all(replace(lower(coalesce({c}, '')), 'ё', 'е'), '[a-zа-я0-9_./-]{{2,}}'), lambda w: trim(w, './-')), "
-        f"lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^mn_[0-9a-f]{{12}}($|[^a-zа-я0-9_])')), lambda w: CASE WHEN regexp_full_match(w, '[а-яa-z]+') THEN w[1:6] ELSE w END), lambda s: s NOT IN ({quoted(_STOPS)}))"
+        f"lambda w: length(w) >= {min_len} AND NOT regexp_matches(w, '^mn_[0-9a-f]{{12}}($|[^a-zа-я0-9_])')), lambda w: CASE WHEN regexp_full_match(w, '[а-яa-z]+') THEN w[1:6] ELSE w END), lambda s: s NOT IN ({quoted(_STOPS)}))"
     )
 
 
@@ -78,3 +78,10 @@ def any_of(c: str, words) -> str:
 def tier(c: str) -> str:
     s = f"trim(lower(coalesce({c}, '')))"
     return f"CASE WHEN {s} = '' THEN 'C' WHEN {any_of(s, S.TIER_A)} THEN 'A' WHEN {any_of(s, S.TIER_C)} THEN 'C' ELSE 'B' END"
+
+
+def first_sentence(c: str, limit: int) -> str:
+    """TX-26."""
+    one = f"trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"
+    head = f"coalesce(nullif(regexp_extract({one}, '^(.*?[.!?…])(?: |$)', 1), ''), {one})"
+    return f"CASE WHEN length({head}) <= {limit} THEN {head} ELSE coalesce(nullif(regexp_extract(({head})[1:{limit - 1}], '^(.*) ', 1), ''), ({head})[1:{limit}]) || '…' END"
