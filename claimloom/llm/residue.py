@@ -126,12 +126,9 @@ def _repeats(key: str) -> bool:
 
 
 @lru_cache(maxsize=1 << 16)
-def rule_kind(key: str, recurs: bool) -> str | None:
-    """Kind of a masked line by what its words say.
-
-    A line that recurs on several hosts is told so at greater length; a lone one must be short and not speak about messages.
-    """
-    if len(key) > (RECUR_CHARS if recurs else LONE_CHARS) or ABOUT.search(key):
+def told_kind(key: str) -> str | None:
+    """Kind of a masked line by what its words say."""
+    if len(key) > RECUR_CHARS or ABOUT.search(key):
         return None
     for kind, parts in RULES:
         if all(p.search(key) for p in parts):
@@ -139,6 +136,11 @@ def rule_kind(key: str, recurs: bool) -> str | None:
     return "filler" if _repeats(key) else None
 
 
+def rule_kind(key: str, recurs: bool) -> str | None:
+    """The same, as far as the length of the line allows: one that recurs on several hosts is told so at greater length, a lone one must be short."""
+    return told_kind(key) if recurs or len(key) <= LONE_CHARS else None
+
+
 #: What a line counts as.
 BODY, FILLER, MESSAGE, NOTHING = range(4)
 CHARSETS = ("utf-8", "cp1251", "koi8-r", "gb18030", "euc-jp", "shift_jis", "big5")
