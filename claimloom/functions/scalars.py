@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values (§7.8).
 HALF_LIFE_H, WEIGHT_FLOOR, RULE_FLOOR = 168.0, 0.05, 0.5
 ISO = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[T ]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?)(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
+DATES = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?"
+TICKERS, NUMBERS = r"(?<![\p{L}\p{N}_])[A-ZА-Я][A-ZА-Я0-9]{1,11}(?![\p{L}\p{N}_])", r"[0-9]+(?:[.,][0-9]+)?"
 STOP_WORDS = """который которая которое которые этот эта это эти было были будет может можно нужно только после перед через если чтобы
 также тоже ещё еще как что при для или над под уже все всех него нет без there with from that this have контекст основание вывод правило приказ"""
 GATE_STOP_WORDS = """что это как так вот ещё уже был была было были будет будут очень просто который которая которые такой такая такие сам
@@ -94,7 +96,6 @@ def gate_tokens(c: Column) -> Column:
     return F.filter(words, lambda w: ((F.length(w) >= 3) | ((F.length(w) >= 2) & w.rlike(r"^\p{Nd}+$"))) & ~w.isin(stops))
 
 
-DATES = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?"
 
 
 def content_tokens(c: Column) -> Column:
@@ -111,12 +112,12 @@ def salient(c: Column, strict_parity: bool = False) -> Column:
     strict_parity trims every trailing 0 and full stop, so that 10 equals 1; by default only a fraction loses its zeros.
     """
     text = F.regexp_replace(F.coalesce(c, F.lit("")), DATES, " ")
-    nums = F.transform(F.regexp_extract_all(text, F.lit(r"[0-9]+(?:[.,][0-9]+)?"), F.lit(0)), lambda x: F.translate(x, ",", "."))
+    nums = F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), lambda x: F.translate(x, ",", "."))
     if strict_parity:
         nums = F.transform(nums, lambda x: F.coalesce(F.nullif(F.regexp_replace(x, r"[.0]+$", ""), F.lit("")), F.lit("0")))
     else:
         nums = F.transform(nums, lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x))
-    tickers = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[A-ZА-Я][A-ZА-Я0-9]{1,11}(?![\p{L}\p{N}_])"), F.lit(0))
+    tickers = F.regexp_extract_all(text, F.lit(TICKERS), F.lit(0))
     low = F.lower(text)
     words = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(m)), F.lit(m)) for m in DECISIONS]))
     return F.array_sort(F.array_distinct(F.concat(nums, tickers, words)))

@@ -120,3 +120,25 @@ def code_callers(s: SparkSession, d: str) -> DataFrame:
 @core.query("code_search")
 def code_search(s: SparkSession, d: str) -> DataFrame:
     return K.search(K.symbols(K.parsed(K.sample_files(s))), K.sample_queries(s))
+
+
+@core.query("code_callees", "SELECT * FROM (VALUES ('shop.base.Record.save', 'CALLS', 'shop/cart.py'), ('shop.cart.Cart.total', 'CALLS', 'shop/cart.py')) t(target, relation, file)")
+def code_callees(s: SparkSession, d: str) -> DataFrame:
+    return K.callees(K.resolved(K.parsed(K.sample_files(s))), "shop.cart.Cart.pay")
+
+
+@core.query("code_methods", "SELECT * FROM (VALUES ('shop.cart.Cart.total'), ('shop.cart.Cart.pay')) t(qname)")
+def code_methods(s: SparkSession, d: str) -> DataFrame:
+    return K.selected(K.symbols(K.parsed(K.sample_files(s))), "shop/cart.py", "method").select("qname")
+
+
+@core.query("code_files")
+def code_files(s: SparkSession, d: str) -> DataFrame:
+    f = K.sample_files(s)
+    return K.file_search(K.symbols(K.parsed(f)), f, K.sample_queries(s))
+
+
+@core.query("code_counters")
+def code_counters(s: SparkSession, d: str) -> DataFrame:
+    r = K.parsed(K.sample_files(s))
+    return K.counters(r, K.resolved(r))

@@ -152,6 +152,16 @@ def test_code(spark):
     assert ("shop.cart.Cart.pay", "CALLS", "shop.cart.Cart.total") in e and ("shop.cart.Cart", "INHERITS", "shop.base.Record") in e and ("shop.cart.Cart.total", "USAGE", "sum") in e
     top = K.search(K.symbols(rec), K.sample_queries(spark)).where("rank = 1").collect()
     assert {r.qid: r.qname for r in top}[1] == "shop.cart.Cart.total"
+    files = K.file_search(K.symbols(rec), K.sample_files(spark), K.sample_queries(spark)).where("rank = 1").collect()
+    assert {r.qid: r.file for r in files}[1] == "shop/cart.py"
+    weights = spark.createDataFrame([("tests/a.py", 0.35), ("a/test_b.py", 0.35), ("b_test.py", 0.35), ("x/conftest.py", 0.35), ("docs/a.py", 0.5), ("vendor/b.py", 0.5), ("src/latest/a.py", 1.0), ("test", 1.0), (None, 1.0)], "p string, w double")
+    assert all(r.w == r.got for r in weights.select("w", K.class_weight(F.col("p")).alias("got")).collect())
+    c = K.counters(rec, K.resolved(rec)).first()
+    assert c.files == 6 and c.resolved > 0 and c.usage > 0
+    diff = spark.createDataFrame([("shop/text.py", "changed"), ("bad.py", "deleted"), ("new.py", "new")], "path string, change string")
+    new = spark.createDataFrame([("shop/text.py", "def other():\n    pass\n"), ("new.py", "x = 1\n")], "path string, content string")
+    after = {r.qname for r in K.symbols(K.reindexed(rec, new, diff)).collect()}
+    assert {"shop.text.other", "new", "shop.cart.Cart.total"} <= after and not {"bad", "shop.text.посчитать_итог"} & after
 
 
 def test_paths_are_followed_to_the_end(spark):
