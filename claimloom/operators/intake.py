@@ -1,4 +1,4 @@
-"""The write path and the reading of its results (DM-12..14, GT-7, FL-3, FL-5, SR-8, SR-9, SR-13, AG-16, AG-23, WN-10, TX-33, TX-34).
+"""The write path and the reading of its results (DM-12..14, GT-7, FL-3, FL-5, SR-8, SR-9, SR-13, AG-16, AG-23, TX-33, TX-34).
 
 A batch of rows is judged against all rows of the snapshot, as in the other gates.
 Null columns count as blank; repeated rows have gone with the snapshot; extra columns are ignored.
@@ -6,7 +6,7 @@ Null columns count as blank; repeated rows have gone with the snapshot; extra co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import questions as T
@@ -122,12 +122,6 @@ def related_hubs(edges: DataFrame, snap: DataFrame) -> DataFrame:
     return hubs.select(C("id").alias("hub_id")).join(members, "hub_id", "left").join(both, "hub_id", "left").select("hub_id", F.coalesce("n_members", zero).alias("n_members"), F.coalesce("n_related", zero).alias("n_related"))
 
 
-def last_hits(hits: DataFrame, keep: int = 20) -> DataFrame:
-    """WN-10: ``(id, at, rank)``, the last ``keep`` distinct hit times of each id."""
-    w = Window.partitionBy("id").orderBy(C("at").desc())
-    return hits.distinct().withColumn("rank", F.row_number().over(w)).where(C("rank") <= keep)
-
-
 def savings(messages: DataFrame, kept: DataFrame, key: str, text: str, summary: int = 40) -> DataFrame:
     """AG-23: tokens of a session before and after compaction; messages outside ``kept(key, rec_id)`` leave a summary of ``summary`` tokens a chunk of three."""
     m = messages.join(kept.select(key, "rec_id", F.lit(True).alias("stays")), [key, "rec_id"], "left")

@@ -9,6 +9,7 @@ from claimloom.functions import questions as T
 from claimloom.operators import intake as I
 from claimloom.operators import search as R
 from claimloom.operators import sessions as L
+from claimloom.operators import store as O
 from claimloom.plans.logs import _MSG, messages
 from claimloom.plans.quality import _G2, QSQL, queries_df
 from claimloom.plans.registry import core
@@ -183,7 +184,7 @@ def related_hubs(s: SparkSession, d: str) -> DataFrame:
 
 @core.query("last_hits", f"WITH {LOG}, {HITS} SELECT id, round(tm, 3)::DOUBLE AS at, row_number() OVER (PARTITION BY id ORDER BY tm DESC) AS rank FROM (SELECT DISTINCT id, tm FROM h) QUALIFY rank <= 20")
 def last_hits(s: SparkSession, d: str) -> DataFrame:
-    return I.last_hits(hits(s, d).select("id", "at")).select("id", F.round("at", 3).alias("at"), "rank")
+    return O.last_hits(hits(s, d).select("id", "at").distinct()).select("id", F.round("at", 3).alias("at"), "rank")
 
 
 @core.query(

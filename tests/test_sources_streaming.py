@@ -1,5 +1,6 @@
 import json
 from datetime import datetime as dt
+from datetime import timedelta
 
 import pytest
 from claimloom.sources import store_io as IO
@@ -49,3 +50,32 @@ def test_bus_and_heartbeats(spark, tmp_path):
         assert {(r.from_id, r.t % 3600 / 60) for r in spark.table("beats").collect()} == {("a", 0.0), ("a", 11.0), ("b", 6.0)}
     finally:
         q.stop()
+
+
+def drained(stream, name, tmp_path, mode="append"):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/cp-{name}").start()
+    try:
+        q.processAllAvailable()
+        return stream.sparkSession.table(name).collect()
+    finally:
+        q.stop()
+
+
+def test_prepasses_expire(spark, tmp_path):
+    """A pre-pass counts for later records of its own session within the hour."""
+    at = lambda m: dt(2026, 1, 1, 0, 0) + timedelta(minutes=m)
+    schema = "rec_id bigint, session_id string, ts timestamp"
+    spark.createDataFrame([(1, "s", at(0)), (2, "s", at(30)), (3, "t", at(0)), (4, None, at(0))], schema).write.json(f"file://{tmp_path}/prepare")
+    spark.createDataFrame([(10, "s", at(40)), (11, "s", at(70)), (12, "s", at(200)), (13, "t", at(0)), (14, None, at(1))], schema).write.json(f"file://{tmp_path}/ground")
+    read = lambda x: spark.readStream.schema(schema).json(f"file://{tmp_path}/{x}")
+    got = {(r.rec_id, r.prepass_id) for r in drained(live.valid_prepasses(read("prepare"), read("ground")), "prepasses", tmp_path)}
+    assert got == {(10, 1), (10, 2), (11, 2)}
+
+
+def test_usage_counts_with_late_and_repeated_hits(spark, tmp_path):
+    at = lambda m: dt(2026, 1, 1, 0, 0) + timedelta(minutes=m)
+    rows = [("a", at(5)), ("a", at(50)), ("a", at(65)), ("b", at(5)), ("a", at(5)), (None, at(1))]
+    spark.createDataFrame(rows, "id string, ts timestamp").write.json(f"file://{tmp_path}/hits")
+    hits = spark.readStream.schema("id string, ts timestamp").json(f"file://{tmp_path}/hits")
+    got = {(r.id, r.window.start.minute + 60 * r.window.start.hour, r.n) for r in drained(live.usage_counts(hits), "usage", tmp_path, "update")}
+    assert got == {("a", 0, 3), ("a", 60, 1), ("b", 0, 1), (None, 0, 1)}
