@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import scalars as S
 from claimloom.operators.store import long_links
-from claimloom.runtime import norm_id, staged
+from claimloom.runtime import map_batches, norm_id, staged
 
 C = F.col
 DUPLICATE, CONTRARY = 0.55, 0.30
+#: share of sets from which on the number of meetings at a token is broadcast
+RARE_FROM = 1e-4
 
 
 def truth_gate(snap: DataFrame, now: float) -> DataFrame:
@@ -78,65 +84,102 @@ def relevance_gate(snap: DataFrame, queries: DataFrame, threshold: float = 2.0)
     return rows.join(q, F.exists("qt", lambda t: F.contains(C("claim"), t) | F.contains(C("context"), t) | F.contains(C("source"), t))).select("qid", "id", F.round(score, 6).alias("score"), F.when(score < threshold, "reject").otherwise("pass").alias("verdict"))
 
 
-def claim_pairs(facets: DataFrame, threshold: float, sides: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Pairs of rows with token similarity >= threshold, by an exact prefix-filter join (JN-5, JN-6, §4.3).
+def claim_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of sets ``(e, side, w)`` with token similarity >= threshold, by an exact prefix-filter join (JN-5, JN-6, §4.3).
 
-    Tokens are ordered from rare to frequent; two sets above the threshold share a token among their first
-    n - ceil(t * n) + 1.  Equal token sets are one class, so copies are compared once: the result pairs classes,
-    and a class with itself stands for its members.  ``(a, b, similarity)``: every pair once with a < b, or only
-    pairs with a in the first and b in the second of ``sides(cid)``.
+    ``w`` holds distinct token hashes.  The result ``(a, b)`` has every pair once: with a < b where ``side`` is null, else a
+    with ``side`` true and b with false.  Tokens are ordered from those whose rows meet seldom to those that meet often; two
+    sets above the threshold share a token among their first n - ceil(t * n) + 1.  A row of this prefix carries a bitmap
+    of the tokens from its own on.  At their first common token two similar sets have all common tokens in these, so most
+    meetings end in the join; the rest is verified by all tokens.  Only the counts of frequent tokens, from RARE_FROM of all
+    sets on, are broadcast; these are at most (tokens a set) / RARE_FROM, whatever the number of sets.
     """
-    classes = facets.select("cid", "tokens").dropDuplicates(["cid"])
-    words = classes.select("cid", "tokens", F.explode("tokens").alias("w"))
-    df = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ranked = words.select("cid", "w").join(df, "w").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
-    size = F.size("ws")
-    prefix = ranked.select("cid", size.alias("size"), F.posexplode(F.slice("ws", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("pos", "x")).select("cid", "size", "pos", "x.w")
-    other = prefix.select(C("cid").alias("b"), C("size").alias("size_b"), C("pos").alias("pos_b"), "w")
-    # At their first common token two similar sets still have enough tokens left: late, frequent tokens meet only long remainders.
-    enough = F.least(C("size") - C("pos"), C("size_b") - C("pos_b")) + 1e-6 >= (C("size") + C("size_b")) * (threshold / (1 + threshold))
-    ratio = (C("size") >= C("size_b") * threshold - 1e-9) & (C("size_b") >= C("size") * threshold - 1e-9) & enough
-    if sides:
-        prefix = prefix.join(sides[0].select("cid"), "cid", "left_semi")
-        other = other.join(sides[1].select(C("cid").alias("b")), "b", "left_semi")
-    once = C("cid") != C("b") if sides else C("cid") < C("b")
-    met = prefix.join(other, "w").where(once & ratio).select(C("cid").alias("a"), "b").distinct()
-    ta, tb = classes.select(C("cid").alias("a"), C("tokens").alias("ta")), classes.select(C("cid").alias("b"), C("tokens").alias("tb"))
-    j = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return met.join(ta, "a").join(tb, "b").select("a", "b", F.round(j, 6).alias("similarity")).where(C("similarity") >= threshold)
+    spark, least = sets.sparkSession, threshold - 5e-7  # similarity counts as rounded to six places
+    floor = max(1, int(RARE_FROM * sets.count()))
+    count = F.count(F.lit(1))
+    cost = F.when(F.count("side") > 0, F.count_if(C("side")) * F.count_if(~C("side"))).otherwise(count)
+    known = sets.select("side", F.explode("w").alias("w")).groupBy("w").agg(count.alias("n"), cost.alias("cost"))
+    known = known.where(C("n") > floor).select("w", "cost").toArrow()
+    order = np.argsort(known.column("w").to_numpy())
+    table = spark.sparkContext.broadcast((known.column("w").to_numpy()[order], known.column("cost").to_numpy()[order].astype(np.int64)))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, costs = table.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("w")
+            flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            owner, starts = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            cost = np.zeros(len(flat), np.int64)
+            if len(words):
+                i = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+                cost = np.where(words[i] == flat, costs[i], 0)
+            flat = flat[np.lexsort((flat, cost, owner))]
+            pos = np.arange(len(flat)) - starts[owner]
+            bit = flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
+            own = np.where((bit >> np.uint64(6))[:, None] == np.arange(4, dtype=np.uint64), (np.uint64(1) << (bit & np.uint64(63)))[:, None], np.uint64(0))
+            # From the last token of each set to the first, the tokens behind join in.
+            for back in range(1, int(size.max())):
+                at = (starts + size - 1 - back)[size > back]
+                own[at] |= own[at + 1]
+            kept = pos < (size - np.ceil(size * least - 1e-9) + 1)[owner]
+            who = owner[kept]
+            columns = [pa.array(flat[kept]), batch.column("e").take(pa.array(who)), pa.array(size[who].astype(np.int32)), pa.array((size[who] - pos[kept]).astype(np.int32)), *[pa.array(own[kept, k].view(np.int64)) for k in range(4)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["t", "e", "n", "rest", "b0", "b1", "b2", "b3"])
+
+    schema = "t bigint, e bigint, n int, rest int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+    side = lambda x: map_batches(sets.where(x).select("e", "w"), prefixes, schema)
+    one, other = side("side is null or side"), side("side is null or not side")
+    other = other.select("t", *[C(c).alias(f"{c}_o") for c in other.columns if c != "t"])
+    share = (C("n") + C("n_o")) * (least / (1 + least)) - 1e-6
+    differ = sum((F.bit_count(C(f"b{k}").bitwiseXOR(C(f"b{k}_o"))) for k in range(4)), F.lit(0))
+    near = (F.least("rest", "rest_o") >= share) & (C("rest") + C("rest_o") - differ >= 2 * share)
+    # Merge joins, as either side grows with the corpus and must never be sent to the driver.
+    met = one.hint("merge").join(other, "t")
+    met = met.where(near).select(C("e").alias("a"), C("e_o").alias("b"))
+    pairs = met.where("a < b").distinct() if sets.where("side is not null").isEmpty() else met.distinct()
+    of = lambda x, name, w: sets.where(x).select(C("e").alias(name), C("w").alias(w))
+    both = pairs.hint("merge").join(of("side is null or side", "a", "wa"), "a").hint("merge").join(of("side is null or not side", "b", "wb"), "b")
+    common = F.size(F.array_intersect("wa", "wb"))
+    return both.where(F.round(common / (F.size("wa") + F.size("wb") - common), 6) >= threshold).select("a", "b")
 
 
 def claim_facets(snap: DataFrame) -> DataFrame:
-    """``(id, seq, kind, weight, tokens, cid, neg, salient)`` of rows with tokens, written once for all joins that follow."""
-    rows = snap.select("id", "seq", "kind", S.falsy(C("weight"), 1.0).alias("weight"), F.array_sort(F.array_distinct(S.content_tokens(C("claim")))).alias("tokens"), S.has_negation(C("claim")).alias("neg"), S.salient(C("claim")).alias("salient"))
-    return staged(rows.where(F.size("tokens") > 0).withColumn("cid", F.xxhash64("tokens")), "facets")
+    """``(id, seq, kind, weight, w, cid, neg, salient)`` of rows with tokens, written once for all joins that follow; ``w`` are token hashes, ``salient`` is a hash."""
+    tokens = F.array_sort(F.array_distinct(F.transform(S.content_tokens(C("claim")), lambda t: F.xxhash64(t))))
+    rows = snap.select("id", "seq", "kind", S.falsy(C("weight"), 1.0).alias("weight"), tokens.alias("w"), S.has_negation(C("claim")).alias("neg"), F.xxhash64(S.salient(C("claim"))).alias("salient"))
+    # Rows without tokens go after the write: a filter before it would make all tokens twice.
+    return staged(rows.withColumn("cid", F.xxhash64("w")), "facets").where(F.size("w") > 0)
 
 
 def gate_duplicates(snap: DataFrame, facets: DataFrame | None = None) -> DataFrame:
     """JN-5: each row with an earlier duplicate (similarity >= .55, same polarity, same salient set): the earliest one and their number of classes.
 
-    Rows are folded to (class, polarity, salient set) first, so copies are never paired with each other.
+    Rows are folded to (class, polarity, salient set) first, so copies are never paired with each other.  Polarity and
+    salient set are part of every token, so only rows that agree in both meet.
     """
     f = claim_facets(snap) if facets is None else facets
-    kinds = f.groupBy("cid", "neg", "salient").agg(F.min(F.struct("seq", "id")).alias("first"))
-    pairs = claim_pairs(f, DUPLICATE)
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    here, there = kinds.select(C("cid").alias("a"), "neg", "salient"), kinds.select(C("cid").alias("b"), "neg", "salient", C("first").alias("f"))
-    linked = both.join(here, "a").join(there, ["b", "neg", "salient"]).groupBy(C("a").alias("cid"), "neg", "salient").agg(F.min("f").alias("f"), F.count(F.lit(1)).alias("n"))
-    best = kinds.join(linked, ["cid", "neg", "salient"], "left").select("cid", "neg", "salient", F.least("first", "f").alias("dup"), F.coalesce("n", F.lit(0)).alias("n_similar"))
-    return f.join(best, ["cid", "neg", "salient"]).where(C("dup.seq") < C("seq")).select("id", C("dup.id").alias("duplicate_of"), "n_similar")
+    e = F.xxhash64("cid", "neg", "salient")
+    kinds = staged(f.groupBy(e.alias("e"), F.xxhash64("neg", "salient").alias("g")).agg(F.min(F.struct("seq", "id")).alias("first"), F.first("w").alias("w")), "kinds")
+    shared = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    sets = staged(kinds.hint("merge").join(shared, "g", "left_semi").select("e", F.lit(None).cast("boolean").alias("side"), F.transform("w", lambda t: F.xxhash64(t, "g")).alias("w")), "sets")
+    pairs = staged(claim_pairs(sets, DUPLICATE), "pairs")
+    both = pairs.union(pairs.select("b", "a"))
+    linked = both.hint("merge").join(kinds.select(C("e").alias("b"), C("first").alias("f")), "b").groupBy(C("a").alias("e")).agg(F.min("f").alias("f"), F.count(F.lit(1)).alias("n"))
+    best = kinds.select("e", "first").hint("merge").join(linked, "e", "left").select("e", F.least("first", "f").alias("dup"), F.coalesce("n", F.lit(0)).alias("n_similar"))
+    return f.select("id", "seq", e.alias("e")).hint("merge").join(best, "e").where(C("dup.seq") < C("seq")).select("id", C("dup.id").alias("duplicate_of"), "n_similar")
 
 
 def gate_contrary(snap: DataFrame, facets: DataFrame | None = None) -> DataFrame:
     """JN-6: rows with a claim of opposite polarity at similarity >= .30: the earliest such row (by seq) and its standing."""
     f = claim_facets(snap) if facets is None else facets
-    kinds = f.groupBy("cid", "neg").agg(F.min(F.struct("seq", "id", "kind", "weight")).alias("first"))
+    kinds = staged(f.groupBy(C("cid").alias("e"), C("neg").alias("side")).agg(F.min(F.struct("seq", "id", "kind", "weight")).alias("f"), F.first("w").alias("w")), "kinds")
     # Only claims of opposite polarity meet; few claims are negative.
-    pairs = claim_pairs(f, CONTRARY, (f.where("neg").select("cid").distinct(), f.where("not neg").select("cid").distinct()))
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).union(kinds.select(C("cid").alias("a"), C("cid").alias("b")).distinct())
-    here, there = kinds.select(C("cid").alias("a"), "neg"), kinds.select(C("cid").alias("b"), (~C("neg")).alias("neg"), C("first").alias("f"))
-    linked = both.join(here, "a").join(there, ["b", "neg"]).groupBy(C("a").alias("cid"), "neg").agg(F.min("f").alias("f"))
-    return f.join(linked, ["cid", "neg"]).select("id", C("f.id").alias("against"), F.when((C("f.kind") == "fact") & (C("f.weight") >= 0.5), "strong").otherwise("weak").alias("standing"))
+    pairs = staged(claim_pairs(kinds.select("e", "side", "w"), CONTRARY), "pairs")
+    ends = pairs.select("a", "b", F.lit(False).alias("there")).union(pairs.select("b", "a", F.lit(True).alias("there"))).toDF("cid", "e", "side")
+    linked = ends.hint("merge").join(kinds.select("e", "side", "f"), ["e", "side"]).groupBy("cid", (~C("side")).alias("neg")).agg(F.min("f").alias("f"))
+    return f.select("id", "cid", "neg").hint("merge").join(linked, ["cid", "neg"]).select("id", C("f.id").alias("against"), F.when((C("f.kind") == "fact") & (C("f.weight") >= 0.5), "strong").otherwise("weak").alias("standing"))
 
 
 def consistency_gate(snap: DataFrame) -> DataFrame:
