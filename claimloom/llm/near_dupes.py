@@ -247,7 +247,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     both = F.col("n") + F.col("n_o")
     differ = F.bit_count(F.col("low").bitwiseXOR(F.col("low_o"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_o")))
     near = (F.least("n", "n_o") + 1e-6 >= F.greatest("n", "n_o") * THRESHOLD) & (differ * (1 + THRESHOLD) <= both * (1 - THRESHOLD) + 1e-6)
-    return nodes.join(other, "place").where((F.col("cid") < F.col("cid_o")) & near).select(F.col("cid").alias("a"), F.col("cid_o").alias("b")).distinct()
+    return nodes.hint("merge").join(other, "place").where((F.col("cid") < F.col("cid_o")) & near).select(F.col("cid").alias("a"), F.col("cid_o").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -255,7 +255,8 @@ def verified(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD)
     side = classes.select("cid", "key", "plain", "words")
     left = side.select(*[F.col(c).alias(f"{c}_a") for c in side.columns])
     right = side.select(*[F.col(c).alias(f"{c}_b") for c in side.columns])
-    joined = pairs.join(left, F.col("a") == F.col("cid_a")).join(right, F.col("b") == F.col("cid_b"))
+    # Merge joins: classes and pairs grow with the corpus, and a broadcast would send either to the driver.
+    joined = pairs.hint("merge").join(left, F.col("a") == F.col("cid_a")).hint("merge").join(right, F.col("b") == F.col("cid_b"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     share = both / (F.size("words_a") + F.size("words_b") - both)
     return joined.where((F.col("key_a") != F.col("key_b")) & (F.col("plain_a") != F.col("plain_b"))).select("a", "b", share.alias("similarity")).where(F.col("similarity") >= threshold)
@@ -265,7 +266,7 @@ def near_duplicates(nodes: DataFrame) -> DataFrame:
     """``(id_a, id_b)``: pairs of node ids whose claims are similar enough, the smaller id first."""
     members, classes = claim_classes(nodes)
     pairs = verified(candidates(classes), classes)
-    named = pairs.join(members.select(F.col("cid").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("cid").alias("b"), F.col("id").alias("y")), "b")
+    named = pairs.hint("merge").join(members.select(F.col("cid").alias("a"), F.col("id").alias("x")), "a").hint("merge").join(members.select(F.col("cid").alias("b"), F.col("id").alias("y")), "b")
     return named.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
@@ -279,6 +280,6 @@ def near_duplicate_groups(nodes: DataFrame) -> DataFrame:
     groups = components(pairs, "a", "b")
     both = pairs.union(pairs.select("b", "a"))
     links = both.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = members.join(groups.join(links, F.col("node") == F.col("a")).select(F.col("node").alias("cid"), "component", "n_links"), "cid")
+    placed = members.hint("merge").join(groups.hint("merge").join(links, F.col("node") == F.col("a")).select(F.col("node").alias("cid"), "component", "n_links"), "cid")
     names = placed.groupBy("component").agg(F.min("id").alias("group_id"))
-    return placed.join(names, "component").select("id", "group_id", F.col("n_links").cast("int").alias("n_links"))
+    return placed.hint("merge").join(names, "component").select("id", "group_id", F.col("n_links").cast("int").alias("n_links"))

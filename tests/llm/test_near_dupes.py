@@ -5,7 +5,7 @@ import unicodedata
 import numpy as np
 
 from claimloom.llm.lookalike import one_form
-from claimloom.llm.near_dupes import chain, least_meeting, near_duplicate_groups, near_duplicates, plan, trees_needed, word_set
+from claimloom.llm.near_dupes import chain, least_meeting, near_duplicate_groups, near_duplicates, plan, trees_needed, verified, word_set
 from conftest import DATA
 
 
@@ -145,3 +145,10 @@ def test_template_with_few_shared_telling_words(make_nodes):
         rows += [{"id": f"{k}{i}", "claim": " ".join([*shared, *(f"{k}{i}x{j}" for j in range(5))])} for k in "pq"]
     want, got = exact({r["id"]: r["claim"] for r in rows}), found(make_nodes(*rows))
     assert got <= want and len(want) == 150 and len(got) >= 0.99 * len(want)
+
+
+def test_no_side_that_grows_goes_to_the_driver(spark):
+    classes = spark.createDataFrame([(1, b"a", b"a", [1, 2, 3]), (2, b"b", b"b", [1, 2, 4])], "cid bigint, key binary, plain binary, words array<bigint>")
+    found = verified(spark.createDataFrame([(1, 2)], "a bigint, b bigint"), classes, 0.5)
+    assert [(r.a, r.b) for r in found.collect()] == [(1, 2)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
