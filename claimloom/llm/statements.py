@@ -22,7 +22,8 @@ from claimloom.runtime import norm_id
 IGNORED = r"(?<!\p{N})[.,]|[.,](?!\p{N})|[^\p{L}\p{M}\p{N}.,]"
 #: label, then ":", "=" or "->", then a value that holds a letter or digit
 FIELD = r"(?s)^[^\p{L}\p{N}]*(\p{L}[\p{L}\p{M}\p{N}_ .-]*?)\s*(?::|=|->|→)\s*(.*[\p{L}\p{N}].*)$"
-MAYBE_LIST = r"(?s)^[^\p{L}\p{N}]*\p{L}[\p{L}\p{M}\p{N}_ .-]{0,60}?\s*(?::|=|->|→).*[;|,\r\n]"
+#: what FIELD takes for the first label, however long, read once without going back: a "-" before ">" may stand in the label's own run
+MAYBE_LIST = r"(?s)^[^\p{L}\p{N}]*+\p{L}[\p{L}\p{M}\p{N}_ .-]*+\s*+(?::|=|→|->|(?<=-)>).*[;|,\r\n]"
 
 
 def fold(c: Column) -> Column:

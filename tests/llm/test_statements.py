@@ -60,3 +60,10 @@ def test_one_statement_in_a_third_of_the_rows(spark, make_nodes):
     n = make_nodes(*rows)
     assert statement_copies(n).count() == 999
     assert statements(n).where("n_ids = 1000 and n_forms = 3").count() == 1
+
+
+def test_labels_of_any_length(make_nodes):
+    long = "label " * 20
+    n = make_nodes({"id": "a", "claim": f"{long}-> 1; port -> 2"}, {"id": "b", "claim": f"port: 2; {long}: 1"}, {"id": "c", "claim": f"{long}1 port 2; host"}, {"id": "d", "claim": "x" + " " * 100_000 + ","})
+    assert pairs(statement_copies(n)) == {("a", "b")}
+    assert statements(n).count() == 3
