@@ -191,3 +191,13 @@ def test_sources_fall_back_to_stale_nodes(spark, make_nodes):
     )
     claims = spark.createDataFrame([(1, 1, "granite bridges carry forty wagons"), (2, 1, "purple turbines whistle nightly"), (3, 1, "silver harbours freeze early"), (4, 1, "unheard lanterns wander silver meadows slowly northward")], "answer_id int, pos int, claim string")
     assert {(r.answer_id, r.id) for r in N.source_nodes(n, claims).collect()} == {(1, "old"), (2, "bad"), (3, "good")}
+
+
+def test_a_claim_of_several_answers_is_looked_up_once(spark, make_nodes, monkeypatch):
+    n = make_nodes({"id": "a", "claim": "The gateway listens behind the northern firewall"}, {"id": "b", "claim": "Nightly backup copies the ledger archive"})
+    a = spark.createDataFrame([(i, "The gateway listens behind the northern firewall. Velvet zebra quartz.") for i in range(3)], "answer_id int, text string")
+    asked, supports = [], N.supports
+    monkeypatch.setattr(N, "supports", lambda snap, claims: asked.append(claims.count()) or supports(snap, claims))
+    got = {(r.answer_id, r.pos): r.verdict for r in N.verify_claims(n, N.split_claims(a)).collect()}
+    assert asked == [2]
+    assert got == {(i, p): v for i in range(3) for p, v in ((1, "supported"), (2, "unsupported"))}
