@@ -67,11 +67,15 @@ def canonical_key(claim: Column) -> Column:
 
 
 def any_of(text: Column, markers: tuple[str, ...]) -> Column:
-    """Whether lower-case text contains one of the markers."""
-    hit = F.lit(False)
-    for m in markers:
-        hit = hit | F.contains(text, F.lit(m))
-    return hit
+    """Whether lower-case text contains one of the markers; the text is made once for all of them."""
+
+    def hit(t: Column) -> Column:
+        found = F.lit(False)
+        for m in markers:
+            found = found | F.contains(t, F.lit(m))
+        return found
+
+    return F.exists(F.array(text), hit)
 
 
 def norm_text(c: Column) -> Column:
@@ -112,15 +116,20 @@ def salient(c: Column, strict_parity: bool = False) -> Column:
     strict_parity trims every trailing 0 and full stop, so that 10 equals 1; by default only a fraction loses its zeros.
     """
     text = F.regexp_replace(F.coalesce(c, F.lit("")), DATES, " ")
-    nums = F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), lambda x: F.translate(x, ",", "."))
-    if strict_parity:
-        nums = F.transform(nums, lambda x: F.coalesce(F.nullif(F.regexp_replace(x, r"[.0]+$", ""), F.lit("")), F.lit("0")))
-    else:
-        nums = F.transform(nums, lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x))
-    tickers = F.regexp_extract_all(text, F.lit(TICKERS), F.lit(0))
-    low = F.lower(text)
-    words = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(m)), F.lit(m)) for m in DECISIONS]))
-    return F.array_sort(F.array_distinct(F.concat(nums, tickers, words)))
+
+    def found(text: Column, low: Column) -> Column:
+        nums = F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), lambda x: F.translate(x, ",", "."))
+        if strict_parity:
+            nums = F.transform(nums, lambda x: F.coalesce(F.nullif(F.regexp_replace(x, r"[.0]+$", ""), F.lit("")), F.lit("0")))
+        else:
+            nums = F.transform(nums, lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x))
+        tickers = F.regexp_extract_all(text, F.lit(TICKERS), F.lit(0))
+        words = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(m)), F.lit(m)) for m in DECISIONS]))
+        return F.array_sort(F.array_distinct(F.concat(nums, tickers, words)))
+
+    # The text and its lower case are made once, not for each word looked for.
+    once = F.struct(text.alias("text"), F.lower(text).alias("low"))
+    return F.get(F.transform(F.array(once), lambda x: found(x["text"], x["low"])), F.lit(0))
 
 
 def has_negation(c: Column) -> Column:
