@@ -1,5 +1,6 @@
 """Small fixtures with known answers: gates, decay, graph, grounding, sessions, code."""
 
+import random
 from datetime import datetime as dt
 
 import pytest
@@ -171,6 +172,47 @@ def test_paths_are_followed_to_the_end(spark):
     assert got == {**{f"a{i}": min(i, 10 - i) for i in range(10)}, "b0": 6, "b1": 7, "b2": 8}
 
 
+def test_distances_stage_the_graph_and_not_the_pairs(spark, monkeypatch):
+    """What is written on the way doesn't grow with hops or with sources times nodes."""
+    n, kept, write = 120, [], G.staged
+    monkeypatch.setattr(G, "staged", lambda df, *a: kept.append(write(df, *a)) or kept[-1])
+    e = spark.createDataFrame([(f"a{i:03}", f"a{i + 1:03}") for i in range(n - 1)], "src string, dst string")
+    got = {(r.source, r.node): r.hops for r in G.distances(e, spark.createDataFrame([(f"a{i:03}",) for i in range(n)], "id string")).collect()}
+    assert got == {(f"a{i:03}", f"a{j:03}"): abs(i - j) for i in range(n) for j in range(n)}
+    assert len(kept) <= 3 and sum(k.count() for k in kept) <= 4 * n
+
+
+@pytest.mark.parametrize("hops", [None, 0, 2])
+def test_distances_are_the_same_for_a_graph_too_large_to_broadcast(spark, monkeypatch, hops):
+    """Several blocks of sources; parts, loops, repeated and null ends, sources without an edge."""
+    rng = random.Random(5)
+    rows = [(f"{p}{rng.randrange(m)}", f"{p}{rng.randrange(m)}") for p, m, k in (("a", 150, 190), ("b", 20, 25), ("c", 3, 9)) for _ in range(k)] + [("a1", None), (None, "b1")]
+    ids = [f"a{i}" for i in range(150)] + ["b1", "b2", "c0", "alone", "alone", None]
+    e, s = spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame([(i,) for i in ids], "id string")
+    near = {}
+    for a, b in rows:
+        if a and b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = set()
+    for x in {*ids} - {None}:
+        at, front, seen = 0, {x}, {x}
+        while front and (hops is None or at <= hops):
+            want |= {(x, y, at) for y in front}
+            front, at = {z for y in front for z in near.get(y, ())} - seen, at + 1
+            seen |= front
+    found = lambda: sorted(tuple(r) for r in G.distances(e, s, hops).collect())
+    assert found() == sorted(want)
+    monkeypatch.setattr(G, "LOCAL_PAIRS", 0)
+    assert found() == sorted(want)
+
+
+def test_distances_without_sources_or_edges(spark):
+    e, s = spark.createDataFrame([("a", "b")], "src string, dst string"), spark.createDataFrame([("a",)], "id string")
+    assert G.distances(e, s.limit(0)).collect() == []
+    assert [tuple(r) for r in G.distances(e.limit(0), s).collect()] == [("a", "a", 0)]
+
+
 def test_path_query_holds_every_source_and_hop(spark):
     import __spark_entry__ as entry
     from conftest import DATA
