@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import questions as T
 from claimloom.operators import grounding as G
+from claimloom.operators.search import node_text
 from claimloom.plans.registry import core
 from claimloom.plans.search import _IDF, _NT, _POST, _SCORE, ASKED, _scored, asked
 from claimloom.plans.sqlbits import ACTIVE, LOG, NOW, SNAP, decayed, first_sentence, iso, tokens, weight
@@ -108,20 +109,20 @@ def eval_sweep(s: SparkSession, d: str) -> DataFrame:
 
 INVENTION = "The copper lighthouse dances with nineteen velvet umbrellas."
 FORMS = ("quote", "numbers swapped", "quote and invention", "invention")
-_FORMS = f"""o AS (SELECT seq, {first_sentence('claim', 220)} AS text FROM n WHERE kind = 'fact' AND seq % 50 = 0),
+_FORMS = f"""o AS (SELECT seq, {first_sentence('claim', 220)} AS text FROM n WHERE kind = 'fact'),
 a AS (SELECT seq * 4 AS answer_id, text FROM o UNION ALL SELECT seq * 4 + 1, translate(text, '0123456789', '1234567890') FROM o UNION ALL SELECT seq * 4 + 2, text || ' {INVENTION}' FROM o UNION ALL SELECT seq * 4 + 3, '{INVENTION}' FROM o), {_split('a')}"""
+# Every node that shares a known token with a claim is a candidate, not only those of its eight rarest.
+_SUP_ALL = _SUP.replace("row_number() OVER (PARTITION BY answer_id, pos ORDER BY idf DESC, token) <= 8 AS seeks", "true AS seeks")
 
 
-@core.query("eval_confusion", f"WITH {SNAP}, {_FORMS}, {_SUP}, {_AGG} SELECT {list(FORMS)}[answer_id % 4 + 1] AS form, verdict, count(*) AS n FROM av GROUP BY ALL")
+@core.query("eval_confusion", f"WITH {SNAP}, {_FORMS}, {_SUP_ALL}, {_AGG} SELECT {list(FORMS)}[answer_id % 4 + 1] AS form, verdict, count(*) AS n FROM av GROUP BY ALL")
 def eval_confusion(s: SparkSession, d: str) -> DataFrame:
     """AG-21, EV-1, EV-3, EV-4: verdicts of quoted first sentences, of the same with every digit raised by one, with an invention behind, and of the invention alone."""
     n = snap(s, d)
-    facts = n.where("kind = 'fact' and seq % 50 = 0").select("seq", T.first_sentence(C("claim"), 220).alias("text"))
-    texts = F.array(C("text"), F.translate("text", "0123456789", "1234567890"), F.concat("text", F.lit(f" {INVENTION}")), F.lit(INVENTION))
-    a = facts.select("seq", F.posexplode(texts).alias("form", "text")).select((C("seq") * 4 + C("form")).alias("answer_id"), "text")
-    v = G.answer_verdicts(a, G.verify_claims(n, G.split_claims(a)))
-    form = F.element_at(F.array(*map(F.lit, FORMS)), (C("answer_id") % 4 + 1).cast("int"))
-    return v.groupBy(form.alias("form"), "verdict").agg(F.count(F.lit(1)).alias("n"))
+    quotes = n.where("kind = 'fact'").select("seq", T.first_sentence(C("claim"), 220).alias("text"), node_text().alias("whole"))
+    answers = [C("text"), F.translate("text", "0123456789", "1234567890"), F.concat("text", F.lit(f" {INVENTION}")), F.lit(INVENTION)]
+    v = G.quote_verdicts(n, quotes, answers, INVENTION)
+    return v.select(F.element_at(F.array(*map(F.lit, FORMS)), C("form") + 1).alias("form"), "verdict", "n")
 
 
 _LOGGED = f"{LOG}, a AS (SELECT rec_id AS answer_id, query AS text FROM g WHERE event = 'ground' AND rec_id % 50 = 0), {_split('a')}"

@@ -1,8 +1,10 @@
 """Small fixtures with known answers: gates, decay, graph, grounding, sessions, code."""
 
+import collections
 import random
 from datetime import datetime as dt
 
+import __spark_entry__ as entry
 import pytest
 from claimloom.functions import scalars as S
 from claimloom.operators import code as K
@@ -243,3 +245,24 @@ def test_a_claim_of_several_answers_is_looked_up_once(spark, make_nodes, monkeyp
     got = {(r.answer_id, r.pos): r.verdict for r in N.verify_claims(n, N.split_claims(a)).collect()}
     assert asked == [2]
     assert got == {(i, p): v for i in range(3) for p, v in ((1, "supported"), (2, "unsupported"))}
+
+
+def test_every_fact_is_evaluated(spark, make_nodes, tmp_path):
+    claims = ("Velvet zebra quartz shone over Kilmarnock.", "Nightly backup copies the ledger archive.", "Nightly backup copies the ledger archive.", "Why?")
+    make_nodes(*[{"id": f"n{i}", "seq": 7 + i, "claim": c} for i, c in enumerate(claims)]).write.parquet(str(tmp_path / "nodes.parquet"))
+    got = {(r.form, r.verdict): r.n for r in entry.queries()["eval_confusion"](spark, str(tmp_path)).collect()}
+    assert got == {("quote", "grounded"): 3, ("quote", "ungrounded"): 1, ("numbers swapped", "grounded"): 3, ("numbers swapped", "ungrounded"): 1, ("quote and invention", "partial"): 3, ("quote and invention", "ungrounded"): 1, ("invention", "ungrounded"): 4}
+
+
+def test_verdicts_of_quotes_are_those_of_their_claims(spark, make_nodes):
+    rng = random.Random(3)
+    words = [a + b + "m" for a in ("bal", "kor", "zet", "win") for b in ("tan", "pix", "lod")]
+    phrase = lambda k: " ".join(rng.sample([*words[: rng.choice((3, 5, 12))], "17", "248"], k))
+    kinds = ("fact", "fact", "fact", "outdated", "rule", "hub")
+    n = make_nodes(*[{"id": f"n{i}", "kind": kinds[i % 6], "claim": phrase(rng.randint(1, 5)) + rng.choice((".", "", "?", "; " + phrase(2))), "context": rng.choice(("", "copper", phrase(2))), "source": ""} for i in range(120)])
+    quotes = n.where("kind = 'fact'").select("seq", F.substring("claim", 1, 30).alias("text"), R.node_text().alias("whole"))
+    answers = [C("text"), F.translate("text", "0123456789", "1234567890"), F.concat("text", F.lit(" Copper umbrellas dance.")), F.lit("Copper umbrellas dance.")]
+    got = {(r.form, r.verdict): r.n for r in N.quote_verdicts(n, quotes, answers, "Copper umbrellas dance.").collect()}
+    a = quotes.select("seq", F.posexplode(F.array(*answers)).alias("form", "text")).select((C("seq") * 4 + C("form")).alias("answer_id"), "text")
+    want = collections.Counter((r.answer_id % 4, r.verdict) for r in N.answer_verdicts(a, N.verify_claims(n, N.split_claims(a))).collect())
+    assert got == want and len({v for _, v in got}) == 3
