@@ -118,9 +118,9 @@ _SUP_ALL = _SUP.replace("row_number() OVER (PARTITION BY answer_id, pos ORDER BY
 @core.query("eval_confusion", f"WITH {SNAP}, {_FORMS}, {_SUP_ALL}, {_AGG} SELECT {list(FORMS)}[answer_id % 4 + 1] AS form, verdict, count(*) AS n FROM av GROUP BY ALL")
 def eval_confusion(s: SparkSession, d: str) -> DataFrame:
     """AG-21, EV-1, EV-3, EV-4: verdicts of quoted first sentences, of the same with every digit raised by one, with an invention behind, and of the invention alone."""
-    n = snap(s, d)
+    n = G.arrived_first(table(s, d, "nodes"))
     quotes = n.where("kind = 'fact'").select("seq", T.first_sentence(C("claim"), 220).alias("text"), node_text().alias("whole"))
-    answers = [C("text"), F.translate("text", "0123456789", "1234567890"), F.concat("text", F.lit(f" {INVENTION}")), F.lit(INVENTION)]
+    answers = [C("text"), F.translate("text", "0123456789", "1234567890"), F.concat("text", F.lit(f" {INVENTION}")), None]
     v = G.quote_verdicts(n, quotes, answers, INVENTION)
     return v.select(F.element_at(F.array(*map(F.lit, FORMS)), C("form") + 1).alias("form"), "verdict", "n")
 

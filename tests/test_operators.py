@@ -217,8 +217,7 @@ def test_distances_without_sources_or_edges(spark):
 
 def test_path_query_holds_every_source_and_hop(spark):
     import __spark_entry__ as entry
-    from conftest import DATA
-
+    
     d = str(DATA / "sf0.001")
     part, whole = ({(r.source, r.node): r.hops for r in entry.queries()[q](spark, d).collect()} for q in ("graph_path_len", "graph_path_all"))
     assert part.items() < whole.items() and max(whole.values()) > 4
@@ -262,7 +261,12 @@ def test_verdicts_of_quotes_are_those_of_their_claims(spark, make_nodes):
     n = make_nodes(*[{"id": f"n{i}", "kind": kinds[i % 6], "claim": phrase(rng.randint(1, 5)) + rng.choice((".", "", "?", "; " + phrase(2))), "context": rng.choice(("", "copper", phrase(2))), "source": ""} for i in range(120)])
     quotes = n.where("kind = 'fact'").select("seq", F.substring("claim", 1, 30).alias("text"), R.node_text().alias("whole"))
     answers = [C("text"), F.translate("text", "0123456789", "1234567890"), F.concat("text", F.lit(" Copper umbrellas dance.")), F.lit("Copper umbrellas dance.")]
-    got = {(r.form, r.verdict): r.n for r in N.quote_verdicts(n, quotes, answers, "Copper umbrellas dance.").collect()}
+    got = {(r.form, r.verdict): r.n for r in N.quote_verdicts(n, quotes, [*answers[:3], None], "Copper umbrellas dance.").collect()}
     a = quotes.select("seq", F.posexplode(F.array(*answers)).alias("form", "text")).select((C("seq") * 4 + C("form")).alias("answer_id"), "text")
     want = collections.Counter((r.answer_id % 4, r.verdict) for r in N.answer_verdicts(a, N.verify_claims(n, N.split_claims(a))).collect())
     assert got == want and len({v for _, v in got}) == 3
+
+
+def test_rows_that_arrived_first(spark, make_nodes):
+    n = make_nodes({"id": "a", "seq": 4}, {"id": " A", "seq": 2, "claim": "first"}, {"id": "b", "seq": 3}, {"id": " ", "seq": 1}, {"id": "a", "seq": 9})
+    assert sorted((r.seq, r.id, r.claim) for r in N.arrived_first(n).collect()) == sorted((r.seq, r.id, r.claim) for r in O.snapshot(n).collect()) == [(2, "a", "first"), (3, "b", "")]
